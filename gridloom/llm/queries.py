@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, sharding, suffix_dedup, urls
+from . import lm_scoring, near_dedup, pieces, sharding, suffix_dedup, urls
 from ._shared import table
 
 
@@ -23,6 +23,14 @@ def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op5_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listed URLs are those of the pages whose page_id is divisible by 100."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -30,7 +38,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op4_jump_shards, op10_url_filter)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op4_jump_shards, op5_lattice_score, op7_sampled_pieces, op10_url_filter)}
 
 
 _OP10_SQL = r"""
