@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring, near_dedup, pieces, sharding, suffix_dedup, urls
+from . import lm_scoring, near_dedup, pieces, quality, sharding, suffix_dedup, urls
 from ._shared import table
 
 
@@ -19,6 +19,11 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dups(table(spark, sf_dir, "documents"))
 
 
+def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "log_weight", "gumbel_key", "kept")
+
+
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16)
 
@@ -38,7 +43,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op4_jump_shards, op5_lattice_score, op7_sampled_pieces, op10_url_filter)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op3_importance, op4_jump_shards, op5_lattice_score, op7_sampled_pieces, op10_url_filter)}
 
 
 _OP10_SQL = r"""
