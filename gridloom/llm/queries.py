@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring, near_dedup, pieces, quality, sharding, suffix_dedup, urls
+from . import ann, lm_scoring, near_dedup, pieces, quality, sharding, suffix_dedup, urls, warc
 from ._shared import table
 
 
@@ -32,10 +32,19 @@ def op5_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listed URLs are those of the pages whose page_id is divisible by 100."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -43,7 +52,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op3_importance, op4_jump_shards, op5_lattice_score, op7_sampled_pieces, op10_url_filter)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op3_importance, op4_jump_shards, op5_lattice_score, op6_multi_index, op7_sampled_pieces, op8_warc,
+                                      op10_url_filter)}
 
 
 _OP10_SQL = r"""
@@ -67,5 +77,15 @@ select page_id, host, path, rule, coalesce(v, case when k in (select k from list
 """
 
 
+_OP8_SQL = r"""
+with p as (select page_id, coalesce(html, '') as h, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
+f as (select d, min(page_id) as first from p where n >= 100 group by d)
+select page_id, n as payload_bytes, p.d as payload_digest,
+  case when f.first <> page_id then 'revisit' else 'response' end as record_type,
+  case when f.first <> page_id then f.first end as refers_to
+from p left join f on p.d = f.d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": _OP10_SQL}
+    return {"op8_warc": _OP8_SQL, "op10_url_filter": _OP10_SQL}
