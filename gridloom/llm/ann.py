@@ -3,7 +3,8 @@
 Centroids of either half are fitted on a bounded sample (SAMPLE vectors of least id hash); every vector is
 indexed, in the cell of its two nearest centroids. A query walks the pairs of centroids from the
 largest sum of inner products down, with a heap, until the cells passed hold `wanted` different vectors; these are
-scored exactly, in double precision.
+scored exactly, in double precision. Unless it is given, `wanted` is measured: TRIALS of the queries are searched
+through all vectors, and it is set so that RECALL of what they find lies in the cells that a walk of that length passes.
 
 Equal vectors are one entry that holds their least ids, no more than an answer can need, so a vector that a third of
 the rows share costs one entry and is searched for once. Entries are dealt to blocks of at most BLOCK: small cells
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 from ._shared import materialise
 
 SAMPLE = 20_000
-WANTED = 4000
+TRIALS, RECALL = 64, 0.95
 BLOCK = 4096
 #: Cells hold so many different vectors on average; centroids of a half are at most MOST_CENTROIDS.
-PER_CELL, MOST_CENTROIDS = 16, 256
+PER_CELL, MOST_CENTROIDS = 3, 256
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -75,18 +76,27 @@ def _search_block(k: int, dim: int):
         if not probes.num_rows or not entries.num_rows:
             return none
         q, v = (_matrix(t.column("vec").combine_chunks(), dim) for t in (probes, entries))
-        qk, qcell, cell = probes.column("qk").to_numpy(), probes.column("cell").to_numpy(), entries.column("cell").to_numpy()
+        qk, cell = probes.column("qk").to_numpy(), entries.column("cell").to_numpy()
         ids = entries.column("ids").combine_chunks()
         least = np.asarray(ids.values)[np.asarray(ids.offsets)[:-1] - ids.offsets[0].as_py()]
         out_q, out_v, out_s = [], [], []
-        for c in np.unique(cell):
-            at, qs = np.flatnonzero(cell == c), np.flatnonzero(qcell == c)
-            for lo in range(0, len(qs), 512):
-                part = qs[lo : lo + 512]
+        cells = probes.column("cells").combine_chunks()
+        passed, width = np.asarray(cells.values), np.diff(np.asarray(cells.offsets))
+        present, which = np.unique(cell, return_inverse=True)
+        for at0 in range(0, len(v), 4 * BLOCK):
+            at = np.arange(at0, min(at0 + 4 * BLOCK, len(v)))
+            for lo in range(0, len(q), 256):
+                part = np.arange(lo, min(lo + 256, len(q)))
+                row = np.repeat(part - lo, width[part])
+                mine = passed[np.asarray(cells.offsets)[lo] - cells.offsets[0].as_py() :][: len(row)]
+                open_cell = np.zeros((len(part), len(present)), bool)
+                open_cell[row, np.searchsorted(present, mine)] = True
                 s = q[part] @ v[at].T
+                s[~open_cell[:, which[at]]] = -np.inf
                 m = min(len(at), k)
                 cut = np.partition(s, len(at) - m, axis=1)[:, len(at) - m]
-                r, col = np.nonzero(s >= cut[:, None] - 1e-9 * (1 + np.abs(cut[:, None])))
+                near = np.where(np.isfinite(cut), cut - 1e-9 * (1 + np.abs(cut)), -np.finfo(float).max)
+                r, col = np.nonzero(s >= near[:, None])
                 exact = (q[part[r]] * v[at[col]]).sum(axis=1)
                 by = np.lexsort((least[at[col]], -exact, r))
                 r, col, exact = r[by], col[by], exact[by]
@@ -102,7 +112,33 @@ def _search_block(k: int, dim: int):
     return run
 
 
-def search(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, key: str = "vec_id", vector: str = "embedding", wanted: int = WANTED, sample: int = SAMPLE) -> DataFrame:
+def _measure(sought: DataFrame, index: DataFrame, c1: np.ndarray, c2: np.ndarray, counts: np.ndarray, k: int, dim: int) -> int:
+    """Entries that a walk must pass so that it meets RECALL of the true neighbours of TRIALS queries."""
+    trial = _matrix(sought.orderBy(F.xxhash64(F.lit(9), "vk")).limit(TRIALS).select("vec").toArrow().column("vec").combine_chunks(), dim)
+    if not len(trial):
+        return 0
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = trial @ _matrix(b.column("vec"), dim).T
+            m = min(k + 1, s.shape[1])
+            col = np.argpartition(-s, m - 1, axis=1)[:, :m] if m else np.zeros((len(trial), 0), np.int64)
+            cell = b.column("cell").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(trial)), m).astype(np.int32)), pa.array(np.take_along_axis(s, col, 1).ravel()), pa.array(cell[col].ravel())], names=["q", "score", "cell"])
+
+    best = index.select("vec", "cell").mapInArrow(exact, "q int, score double, cell int")
+    top = Window.partitionBy("q").orderBy(F.desc("score"))
+    found = best.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).select("q", "cell").collect()  # TRIALS * (k + 1) rows
+    half, reached = dim // 2, []
+    for q in range(len(trial)):
+        order = np.argsort(-((trial[q, :half] @ c1.T)[:, None] + (trial[q, half:] @ c2.T)[None, :]).ravel(), kind="stable")
+        upto = np.empty(len(order), np.int64)
+        upto[order] = np.cumsum(counts[order])
+        reached += [upto[r["cell"]] for r in found if r["q"] == q]
+    return int(np.quantile(reached, RECALL, method="higher"))
+
+
+def search(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, key: str = "vec_id", vector: str = "embedding", wanted: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, key, score): the k nearest rows of each row that the SQL condition `queries` picks."""
     rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vec"),
                           F.expr(queries).alias("asked")).where("id is not null and vec is not null")
@@ -150,19 +186,31 @@ def search(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, ke
             first[c] = block
             room -= int(counts[c])
 
+    asked = rows.where("asked").select("id", "vk").distinct()
+    wanted_keys = asked.select("vk").distinct()
+    sought = index.join(wanted_keys, "vk", "left_semi").select("vk", "vec")
+    if wanted is None:
+        wanted = _measure(sought, index, c1, c2, counts, k, dim)
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = _matrix(b.column("vec"), dim)
             a1, a2 = v[:, :half] @ c1.T, v[:, half:] @ c2.T
             for lo in range(0, len(v), 256):
-                r, cells = [], []
+                who, blocks, lists = [], [], []
                 for i in range(lo, min(lo + 256, len(v))):
-                    for c in walk(a1[i], a2[i], counts, wanted):
-                        r += [i] * int(parts[c])
-                        cells += [(c, first[c] + j) for j in range(parts[c])]
-                cell = np.array(cells, np.int64).reshape(-1, 2)
-                take = pa.array(r, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("vk").take(take), b.column("vec").take(take), pa.array(cell[:, 0].astype(np.int32)), pa.array(cell[:, 1].astype(np.int32))], names=["qk", "vec", "cell", "block"])
+                    c = np.array(walk(a1[i], a2[i], counts, wanted), np.int64)
+                    n = parts[c]
+                    each = np.repeat(c, n)
+                    blk = np.repeat(first[c], n) + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                    by = np.argsort(blk, kind="stable")
+                    each, blk = each[by], blk[by]
+                    at = np.flatnonzero(np.r_[True, blk[1:] != blk[:-1]]) if len(blk) else np.zeros(0, np.int64)
+                    who += [i] * len(at)
+                    blocks.append(blk[at])
+                    lists += np.split(each.astype(np.int32), at[1:]) if len(at) else []
+                take = pa.array(who, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("vk").take(take), b.column("vec").take(take), pa.array(lists, pa.list_(pa.int32())), pa.array(np.concatenate(blocks).astype(np.int32))], names=["qk", "vec", "cells", "block"])
 
     def place_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,9 +218,7 @@ def search(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, ke
             blk = first[cell] + b.column("vk").to_numpy() % parts[cell]
             yield pa.RecordBatch.from_arrays([b.column("vec"), b.column("ids"), b.column("cell"), pa.array(blk.astype(np.int32))], names=["vec", "ids", "cell", "block"])
 
-    asked = rows.where("asked").select("id", "vk").distinct()
-    wanted_keys = asked.select("vk").distinct()
-    probes = index.join(wanted_keys, "vk", "left_semi").select("vk", "vec").mapInArrow(probe, "qk long, vec array<double>, cell int, block int")
+    probes = sought.mapInArrow(probe, "qk long, vec array<double>, cells array<int>, block int")
     placed = index.mapInArrow(place_entries, "vec array<double>, ids array<long>, cell int, block int")
     hits = probes.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(_search_block(k + 1, dim), "qk long, score double, ids array<long>")
     top = Window.partitionBy("qk").orderBy(F.desc("score"), F.col("ids")[0])
