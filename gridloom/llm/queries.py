@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lm_scoring, near_dedup, pieces, quality, sharding, suffix_dedup, urls, warc
+from . import ann, decontaminate, lm_scoring, near_dedup, pieces, quality, sharding, suffix_dedup, urls, warc
 from ._shared import table
 
 
@@ -45,6 +45,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listed URLs are those of the pages whose page_id is divisible by 100."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -53,7 +57,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op3_importance, op4_jump_shards, op5_lattice_score, op6_multi_index, op7_sampled_pieces, op8_warc,
-                                      op10_url_filter)}
+                                      op9_latent_leaks, op10_url_filter)}
 
 
 _OP10_SQL = r"""
