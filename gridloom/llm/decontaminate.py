@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval, checked by common subsequences and answers.
 
-Texts are read as words (runs of letters and digits, A-Z lower-cased). A passage is PASSAGE words, and one
-begins every STRIDE words. Terms are the benchmark's words but for those of more than STOP_SHARE of its items. The TF-IDF
+Texts are read as words (runs of letters and digits, A-Z lower-cased). A passage is PASSAGE words; the matrix has
+one for every PASSAGE words, the search one for every STRIDE. Terms are the benchmark's words but for those of more than STOP_SHARE of its items. The TF-IDF
 matrix of all passages (idf counted over all of them) gets a randomised SVD: each task multiplies its rows with one
 Gaussian matrix and back, the sums (terms x rank) meet by term, and the Nystrom formula gives singular values and
-right vectors from them in one pass. Passages and items are compared by cosine in that space; pairs of COSINE or more are
-candidates. A candidate's words, taken with as many around it as the item has, are held against the item by their longest
+right vectors from them in one pass. Passages and items are compared by cosine in that space; pairs of COSINE or more
+that share TERM_SHARE of the item's terms are candidates. A candidate's words, taken with as many around it as the item has, are held against the item by their longest
 common subsequence: LEAK of the item's words or more is a leak; PARAPHRASE or more is one if the answer (the item's last ANSWER
 words) is there in order as well.
 
@@ -30,10 +30,12 @@ from ._text import prefix_sums, span_hash, text_chunks
 from .near_dedup import common_subsequence
 from .quality import _KIND, _LOWER
 
-PASSAGE, STRIDE = 64, 32
+PASSAGE, STRIDE = 48, 24
 STOP_SHARE = 0.1
-RANK, OVERSAMPLE = 96, 16
-COSINE = 0.35
+RANK, OVERSAMPLE = 128, 16
+COSINE = 0.4
+#: Half the words in common, half of an item in its best passage.
+TERM_SHARE = 0.25
 LEAK, PARAPHRASE, ANSWER = 0.8, 0.5, 5
 ITEMS = 10_000
 #: A passage with fewer different terms is not looked up, unless an item has as few.
@@ -91,13 +93,13 @@ def _terms_of(bench: Benchmark):
     return run
 
 
-def passages(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def passages(b: pa.RecordBatch, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(passage, term, count) triples in order, and each passage's row in b and its number in the text."""
     place, term = b.column("place"), b.column("term")
     row = np.repeat(np.arange(b.num_rows), np.asarray(place.value_lengths()))
     p, t = np.asarray(place.flatten()).astype(np.int64), np.asarray(term.flatten()).astype(np.int64)
-    here = p // STRIDE
-    reach = PASSAGE // STRIDE
+    here = p // stride
+    reach = PASSAGE // stride
     parts = [(row[m], (here - back)[m], t[m]) for back in range(reach) for m in [here >= back]]
     row, number, t = (np.concatenate(x) for x in zip(*parts, strict=True))
     most = int(number.max(initial=0)) + 1
@@ -111,7 +113,7 @@ def passages(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 def _df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros(1, np.int64), 0
     for b in batches:
-        passage, t, _, own, _ = passages(b)
+        passage, t, _, own, _ = passages(b, PASSAGE)
         c = np.bincount(t, minlength=len(total))
         c[: len(total)] += total
         total, n = c, n + len(own)
@@ -127,14 +129,17 @@ def _weights(passage: np.ndarray, t: np.ndarray, count: np.ndarray, idf: np.ndar
 
 
 def _rows_times(passage: np.ndarray, t: np.ndarray, w: np.ndarray, by_term: np.ndarray, n: int) -> np.ndarray:
-    """The sparse rows (in order of passage) times by_term."""
+    """The sparse rows (in order of passage) times by_term: one step for each place in a row, all rows at once."""
     out = np.zeros((n, by_term.shape[1]), np.float32)
-    edges = np.searchsorted(passage, np.arange(n + 1))
-    for lo in range(0, n, 1 << 14):
-        hi = min(n, lo + (1 << 14))
-        s, e = edges[lo], edges[hi]
-        if e > s:
-            out[lo:hi] = np.add.reduceat(by_term[t[s:e]] * w[s:e, None].astype(np.float32), edges[lo:hi] - s)
+    size = np.bincount(passage, minlength=n)
+    start = np.cumsum(size) - size
+    w = w.astype(np.float32)[:, None]
+    for lo in range(0, n, 4096):
+        rows = lo + np.argsort(-size[lo : lo + 4096], kind="stable")
+        for j in range(int(size[rows[0]]) if len(rows) else 0):
+            rows = rows[: int(np.searchsorted(-size[rows], -j, "left"))]
+            at = start[rows] + j
+            out[rows] += by_term[t[at]] * w[at]
     return out
 
 
@@ -142,14 +147,16 @@ def _gram(idf: np.ndarray, omega: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(omega.shape, np.float64)
         for b in batches:
-            passage, t, count, own, _ = passages(b)
+            passage, t, count, own, _ = passages(b, PASSAGE)
             w = _weights(passage, t, count, idf, len(own))
             y = _rows_times(passage, t, w, omega, len(own))
             by = np.argsort(t, kind="stable")
-            for lo in range(0, len(by), 1 << 16):
-                e = by[lo : lo + (1 << 16)]
+            for lo in range(0, len(by), 1 << 14):
+                e = by[lo : lo + (1 << 14)]
                 start = np.flatnonzero(np.r_[True, t[e][1:] != t[e][:-1]])
-                total[t[e][start]] += np.add.reduceat(y[passage[e]] * w[e, None].astype(np.float32), start)
+                # Sums of each term's run, as differences of running sums.
+                run = np.cumsum(y[passage[e]] * w[e, None], axis=0, dtype=np.float64)[np.r_[start[1:], len(e)] - 1]
+                total[t[e][start]] += np.diff(run, axis=0, prepend=0.0)
         at = np.flatnonzero(total.any(axis=1))
         rows = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * omega.shape[1]), pa.array(total[at].ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), rows], names=["term", "row"])
@@ -177,8 +184,18 @@ def latent_space(compact: DataFrame, idf: np.ndarray, rank: int = RANK, seed: in
     return v[:, :rank], np.sqrt(np.maximum(s[:rank] ** 2 - shift, 0))
 
 
-def _candidates(idf: np.ndarray, v: np.ndarray, items: np.ndarray, least_terms: int, cosine: float):
-    """Rows (rk, passage number, item) of cosine or more."""
+def _candidates(idf: np.ndarray, v: np.ndarray, items: np.ndarray, item_terms: np.ndarray, least_terms: int, cosine: float):
+    """Rows (rk, passage number, item) of cosine or more; item_terms: sorted item * len(idf) + term."""
+    n_terms = np.bincount(item_terms // len(idf), minlength=len(items))
+
+    def shared(item: np.ndarray, p: np.ndarray, start: np.ndarray, size: np.ndarray, t: np.ndarray) -> np.ndarray:
+        n = size[p]
+        first = np.cumsum(n) - n
+        at = np.arange(n.sum()) - np.repeat(first - start[p], n)
+        code = np.repeat(item.astype(np.int64), n) * len(idf) + t[at]
+        hit = item_terms[np.minimum(np.searchsorted(item_terms, code), len(item_terms) - 1)] == code
+        return np.bincount(np.repeat(np.arange(len(p)), n), weights=hit, minlength=len(p))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis = v.astype(np.float32)
         for b in batches:
@@ -186,11 +203,16 @@ def _candidates(idf: np.ndarray, v: np.ndarray, items: np.ndarray, least_terms:
             w = _weights(passage, t, count, idf, len(own))
             z = _rows_times(passage, t, w, basis, len(own))
             z /= np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
-            rows = np.flatnonzero(np.bincount(passage, minlength=len(own)) >= least_terms)
+            size = np.bincount(passage, minlength=len(own))
+            start = np.cumsum(size) - size
+            rows = np.flatnonzero(size >= least_terms)
             for lo in range(0, len(rows), 4096):
                 part = rows[lo : lo + 4096]
                 for at in range(0, len(items), 1024):
                     p, i = np.nonzero(z[part] @ items[at : at + 1024].T >= cosine)
+                    if len(p):
+                        near = shared(at + i, part[p], start, size, t) >= TERM_SHARE * n_terms[at + i]
+                        p, i = p[near], i[near]
                     if len(p):
                         yield pa.RecordBatch.from_arrays([b.column("rk").take(pa.array(own[part[p]])), pa.array(number[part[p]].astype(np.int32)), pa.array((at + i).astype(np.int32))], names=["rk", "number", "item"])
     return run
@@ -273,7 +295,7 @@ def _leaks_of(keyed: DataFrame, bench: Benchmark, rank: int, cosine: float, leak
     vectors = _rows_times(p, t, _weights(p, t, c, idf, len(bench.seqs)), v.astype(np.float32), len(bench.seqs)) if len(p) else np.zeros((len(bench.seqs), v.shape[1]), np.float32)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]
     least = int(min([TERMS, *np.bincount(p, minlength=len(bench.seqs))])) if len(p) else 0
-    met = materialise(compact.mapInArrow(_candidates(idf, v, vectors, max(least, 1), cosine), "rk long, number int, item int").distinct(), "candidates")
+    met = materialise(compact.mapInArrow(_candidates(idf, v, vectors, np.sort(p * len(idf) + t), max(least, 1), cosine), "rk long, number int, item int").distinct(), "candidates")
     # A text's own candidates: their number follows its length.
     listed = met.groupBy("rk").agg(F.collect_list(F.struct("number", "item")).alias("found"))
     confirmed = keyed.select("rk", "text").join(listed, "rk").mapInArrow(_confirm(bench, leak, paraphrase, answer), "rk long, item int, share double")
@@ -289,3 +311,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     return rows.join(best, "rk", "left").select(
         F.col("key").alias(key), F.col("best").isNotNull().alias("contaminated"), F.col("best.item").alias("item_id"),
         (-F.col("best.s")).alias("share"), F.coalesce("n", F.lit(0)).cast("long").alias("n_items"))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs in which no leak was found."""
+    found = materialise(leaks(docs, benchmark, key, text, **options).select("rk").distinct(), "leaks")
+    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    return docs.withColumn("__rk", F.xxhash64(F.col(f"`{key}`"), body)).join(found.withColumnRenamed("rk", "__rk"), "__rk", "left_anti").select(*docs.columns)

@@ -170,11 +170,12 @@ def text_classes(docs: DataFrame, text: str = "text", k: int = WORDS, least: flo
     votes = materialise(met.join(leaders, "bucket").where("tk <> leader").groupBy("tk", "leader").count(), "votes")
     drop_scratch(docs.sparkSession, met)
     named = votes.select("tk").union(votes.select("leader")).distinct()
-    # One text for each node; copies are folded before they are shuffled.
-    texts = materialise(keyed.join(named, "tk", "left_semi").groupBy("tk").agg(F.first("body").alias("body")), "texts")
+    # One text for each node; copies are folded before they are shuffled. Joins with texts are merge joins at every
+    # size: the plan does not change (nor its growth bend) where a few nodes would fit a broadcast.
+    texts = materialise(keyed.join(named.hint("merge"), "tk", "left_semi").groupBy("tk").agg(F.first("body").alias("body")), "texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        full = (pairs.join(texts.selectExpr("tk as a", "body as ta"), "a").join(texts.selectExpr("tk as b", "body as tb"), "b"))
+        full = (pairs.hint("merge").join(texts.selectExpr("tk as a", "body as ta"), "a").hint("merge").join(texts.selectExpr("tk as b", "body as tb"), "b"))
         return materialise(full.select("a", "b", "ta", "tb").mapInArrow(_verify(k, least), "a long, b long"), "links")
 
     pair = (F.least("tk", "leader").alias("a"), F.greatest("tk", "leader").alias("b"))
@@ -198,3 +199,15 @@ def near_dups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     classes = named.groupBy("label").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size"))
     alone = rows.where("__tk is null").select("key", F.col("key").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return named.join(classes, "label").select("key", "class_id", "class_size").union(alone).withColumnRenamed("key", key)
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs without near copies: of each class the row of least key, once; texts without a word all stay."""
+    found = text_classes(docs, text, **options)
+    rows = with_text_key(docs, text).drop("__body").withColumn("__key", F.col(f"`{key}`"))
+    named = (rows.where("__tk is not null").select("__key", "__tk").join(found.selectExpr("node as __tk", "label"), "__tk", "left")
+             .groupBy(F.coalesce("label", "__tk").alias("label")).agg(F.min(F.struct(F.col("__key").isNull(), "__key", "__tk")).alias("first")))
+    first = named.selectExpr("first.__key as k", "first.__tk as t")
+    kept = rows.join(first, F.col("__key").eqNullSafe(F.col("k")) & (F.col("__tk") == F.col("t")), "left_semi")
+    once = kept.dropDuplicates(["__tk"])
+    return once.select(*docs.columns).unionByName(rows.where("__tk is null").select(*docs.columns))

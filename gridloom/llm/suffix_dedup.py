@@ -381,3 +381,28 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     kind = docs.schema[key].dataType.simpleString()
     return keyed.join(listed, "rk", "left").select(F.col("key"), "text", "spans").mapInArrow(
         _drop_bytes, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("key", key)
+
+
+def strip_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str | None = None, **options) -> DataFrame:
+    """docs with the repeated bytes taken out of the text (and of no character a part); chars: a column for its new length.
+
+    A null text stays null.
+    """
+    spans = repeated_spans(docs, key, text, **options)
+    listed = spans.distinct().groupBy("rk").agg(F.collect_list(F.struct("at", "upto")).alias("spans"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.col(f"`{text}`").isNull().alias("__null"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    rows = docs.select(rest.alias("key"), body.alias("text"), F.xxhash64(F.col(f"`{key}`"), body).alias("rk"))
+    kind = rows.schema["key"].dataType.simpleString()
+    kept = rows.join(listed, "rk", "left").select("key", "text", "spans").mapInArrow(
+        _drop_bytes, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    whole = F.when(~F.col("key.__null"), _whole_characters(F.col("kept")))
+    out = kept.select("key", whole.alias("__text"))
+    columns = [F.col("__text").alias(c) if c == text else F.length("__text").cast(docs.schema[c].dataType).alias(c) if c == chars else F.col(f"key.`{c}`") for c in docs.columns]
+    return out.select(*columns)
+
+
+@F.arrow_udf("string")
+def _whole_characters(column: pa.Array) -> pa.Array:
+    """Bytes as text; what is left of a character that was cut goes."""
+    return pa.array([x.decode("utf-8", "ignore") if x is not None else None for x in column.to_pylist()], pa.string())
