@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import materialise
 from ._text import group_starts, mix, prefix_sums, span_hash, text_chunks
@@ -402,7 +403,7 @@ def strip_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", char
     return out.select(*columns)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _whole_characters(column: pa.Array) -> pa.Array:
     """Bytes as text; what is left of a character that was cut goes."""
     return pa.array([x.decode("utf-8", "ignore") if x is not None else None for x in column.to_pylist()], pa.string())
