@@ -110,9 +110,16 @@ def passages(b: pa.RecordBatch, stride: int = STRIDE) -> tuple[np.ndarray, np.nd
     return passage, t, count, own // most, own % most
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose passages fit in a worker's memory many times over."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def _df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros(1, np.int64), 0
-    for b in batches:
+    for b in _small(batches):
         passage, t, _, own, _ = passages(b, PASSAGE)
         c = np.bincount(t, minlength=len(total))
         c[: len(total)] += total
@@ -146,7 +153,7 @@ def _rows_times(passage: np.ndarray, t: np.ndarray, w: np.ndarray, by_term: np.n
 def _gram(idf: np.ndarray, omega: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(omega.shape, np.float64)
-        for b in batches:
+        for b in _small(batches):
             passage, t, count, own, _ = passages(b, PASSAGE)
             w = _weights(passage, t, count, idf, len(own))
             y = _rows_times(passage, t, w, omega, len(own))
@@ -198,7 +205,7 @@ def _candidates(idf: np.ndarray, v: np.ndarray, items: np.ndarray, item_terms: n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis = v.astype(np.float32)
-        for b in batches:
+        for b in _small(batches):
             passage, t, count, own, number = passages(b)
             w = _weights(passage, t, count, idf, len(own))
             z = _rows_times(passage, t, w, basis, len(own))
