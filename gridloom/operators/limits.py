@@ -68,7 +68,7 @@ def counts(rows: DataFrame, limits: DataFrame, row_result: DataFrame | None = No
 
 
 def converged(row_result: DataFrame, tol: float = TOL) -> DataFrame:
-    return row_result.withColumn("converged", F.expr(f"not isnan(residual) and residual <= {tol} and status not in (4, 5)"))
+    return row_result.withColumn("converged", F.expr(f"coalesce(not isnan(residual) and residual <= {tol}, false) and status not in (4, 5)"))
 
 
 def category_table(spark) -> DataFrame:

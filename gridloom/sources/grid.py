@@ -107,7 +107,7 @@ def derived_grid(spark: SparkSession, sf_dir: str, rings: bool = False) -> Grid:
                             "0.004D + 0.001D * (n % 3) as r", "0.03D + 0.004D * (n % 4) as x", "0.02D as b", "1.0D as tap", "0.0D as shift", "0.01D as limit1_ka", "0.01D as limit2_ka"))
         branch = line.unionByName(trafo.withColumn("branch_id", F.col("branch_id") + 25))
     load = (read("customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("a"))
-            .selectExpr("cast(c_nationkey as int) as load_id", "cast(100 + c_nationkey as int) as bus_id", "20 + 0.002D * a as p_mw", "0.3D * (20 + 0.002D * a) as q_mvar"))
+            .selectExpr("cast(c_nationkey as int) as load_id", "cast(100 + c_nationkey as int) as bus_id", "20 + 1.0D / 7 + 0.002D * a as p_mw", "0.3D * (20 + 1.0D / 7 + 0.002D * a) as q_mvar"))
     gen = read("supplier").selectExpr("cast(s_suppkey as int) as gen_id", "cast(100 + s_nationkey as int) as bus_id", "0.001D * s_acctbal as p_mw", "1.0D + 0.001D * (s_suppkey % 3) as v_set",
                                       "0.0D as min_p", "5.0D + (s_suppkey % 7) as max_p", "-2.0D as min_q", "2.0D as max_q", "1.0D + (s_suppkey % 4) as weight")
     return make_grid(spark, bus=hubs.unionByName(ends), branch=branch, load=load, gen=gen)
