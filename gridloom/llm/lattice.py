@@ -84,38 +84,48 @@ class Lattice:
         self.first = off[:-1] + np.arange(n)
         self.last = self.first + size
         self.nodes = int(off[-1]) + n
-        string = np.repeat(np.arange(n), size)
-        left = np.repeat(off[1:], size) - np.arange(len(data))  # bytes to the string's end
+        if self.nodes >= 1 << 31:
+            raise ValueError("too many bytes for one lattice")
+        # Nodes, pieces and depths are held in 32 bits or fewer: edges outnumber bytes several times.
+        string = np.repeat(np.arange(n, dtype=np.int32), size)
+        at = np.arange(len(data), dtype=np.int32)
+        left = np.repeat(off[1:], size).astype(np.int32) - at  # bytes to the string's end
         p = prefix_sums(data)
-        at = np.arange(len(data))
-        src, length, piece = [], [], []
+        src, dst, piece = [], [], []
         for width, hashes, pieces in tables:
             at = at[left[at] >= width]
             if not len(at):
                 break
-            h = span_hash(p, at, at + width)
+            h = span_hash(p, at, at + np.int32(width))
             lo = np.searchsorted(hashes, h)
             hit = hashes[np.minimum(lo, len(hashes) - 1)] == h
             where, found = at[hit], lo[hit]
+            del h, lo, hit
             while len(where):  # pieces that spell the same bytes (a byte and its character) are edges each
-                src.append(where)
-                length.append(np.full(len(where), width, np.int32))
+                node = where + string[where]
+                src.append(node)
+                dst.append(node + np.int32(width))
                 piece.append(pieces[found])
                 found = found + 1
                 more = (found < len(hashes)) & (hashes[np.minimum(found, len(hashes) - 1)] == hashes[found - 1])
                 where, found = where[more], found[more]
-        s, w, q = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, length, piece))
-        node = s + string[s]
-        dst = node + w
+        del p, left
+        src, dst, piece = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (src, dst, piece))
         by = np.argsort(dst, kind="stable")
-        self.src, self.dst, self.piece = node[by], dst[by], q[by].astype(np.int64)
-        self.score = vocabulary.score[self.piece]
-        self.depth = (self.dst - self.first[string[s[by]]]).astype(np.int64) if len(s) else np.zeros(0, np.int64)
+        self.src, self.dst, self.piece = src[by], dst[by], piece[by]
+        self.weights = vocabulary.score
+        start = np.repeat(self.first, size + 1).astype(np.int32)  # the first node of each node's string
+        depth = self.dst - start[self.dst]
+        self.depth = depth.astype(np.uint16) if len(depth) and depth.max() < 65536 else depth
+
+    @property
+    def score(self) -> np.ndarray:
+        return self.weights[self.piece]
 
     def _steps(self, depth: np.ndarray, node: np.ndarray):
         """Edges in rounds of one depth, within a round by node; (edges, first of each node, nodes)."""
-        by = np.arange(len(node)) if node is self.dst else np.argsort(node, kind="stable")
-        d = depth[by]
+        by = np.arange(len(node), dtype=np.int32) if node is self.dst else np.argsort(node, kind="stable")
+        d = depth if node is self.dst else depth[by]
         by = by[np.argsort(d.astype(np.uint16) if len(d) and d.max() < 65536 else d, kind="stable")]
         cut = np.flatnonzero(np.r_[True, depth[by][1:] != depth[by][:-1]]) if len(by) else []
         for a, b in zip(cut, np.r_[cut[1:], len(by)] if len(by) else [], strict=True):
@@ -127,7 +137,7 @@ class Lattice:
         out = np.full(self.nodes, -np.inf)
         out[zero] = 0.0
         for e, start, nodes in self._steps(depth, into):
-            v = out[of[e]] + self.score[e]
+            v = out[of[e]] + self.weights[self.piece[e]]
             top = np.maximum.reduceat(v, start)
             out[nodes] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.r_[start, len(e)]))), start))
         return out
@@ -144,7 +154,7 @@ class Lattice:
         """How often each piece is used, over all segmentations by their posterior, string i counting weight[i]."""
         ahead = self.forward()
         string = np.searchsorted(self.first, self.src, "right") - 1
-        back = self._sums(self.src, self.dst, self.last[string] - self.src, self.last)
+        back = self._sums(self.src, self.dst, (self.last[string] - self.src).astype(np.int32), self.last)
         post = np.exp(ahead[self.src] + self.score + back[self.dst] - ahead[self.last[string]])
         return np.bincount(self.piece, weights=post * weight[string], minlength=pieces)
 
@@ -154,15 +164,18 @@ class Sampler:
 
     def __init__(self, lattice: Lattice):
         ahead = lattice.forward()
-        p = np.exp(ahead[lattice.src] + lattice.score - ahead[lattice.dst])
-        total = np.cumsum(p)
+        p = ahead[lattice.src]
+        p += lattice.score
+        p -= ahead[lattice.dst]
+        np.exp(p, out=p)
         start = np.flatnonzero(np.r_[True, lattice.dst[1:] != lattice.dst[:-1]]) if len(p) else np.zeros(0, np.int64)
         n = np.diff(np.r_[start, len(p)])
-        base = np.repeat(np.r_[0.0, total][start], n)
-        # Upper end of each edge's share of [0, 1) at its node; a node's edges stand together.
-        self.upto = (total - base) / np.repeat(np.maximum(total[start + n - 1] - np.r_[0.0, total][start], 1e-300), n)
+        # Upper end of each edge's share of [0, 1) at its node; a node's edges stand together, their shares sum to one.
+        total = np.cumsum(p)
+        total -= np.repeat(total[start] - p[start], n)
+        self.upto = total.astype(np.float32)
         self.upto[start + n - 1] = 1.0
-        self.start = np.zeros(lattice.nodes, np.int64)
+        self.start = np.zeros(lattice.nodes, np.int32)
         self.start[lattice.dst[start]] = start
         self.edge_src, self.edge_piece = lattice.src, lattice.piece
         self.first, self.last = lattice.first, lattice.last
@@ -175,7 +188,7 @@ class Sampler:
         """
         node, todo = self.last[string], np.arange(len(string))
         shift = place - self.first[string]
-        who, what, where = [], [], []
+        who, what = [], []
         while len(todo):
             u = (mix(seed[todo] ^ mix((node + shift[todo]).astype(np.uint64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             e = self.start[node]
@@ -186,7 +199,6 @@ class Sampler:
             who.append(todo)
             what.append(self.edge_piece[e])
             node = self.edge_src[e]
-            where.append(node)
             on = node > self.first[string[todo]]
             node, todo = node[on], todo[on]
         if not who:
