@@ -22,7 +22,8 @@ def contingencies(spark: SparkSession, items: list[tuple], after: DataFrame | No
     """Tuples of 4, 6 or 10 id lists in the order of KINDS, added behind `after`. Empty ones are refused, all or none."""
     rows, start = [], 0
     if after is not None:
-        start = (after.agg(F.max("row_id")).first()[0] or -1) + 1
+        last = after.agg(F.max("row_id")).first()[0]
+        start = 0 if last is None else last + 1
     for i, item in enumerate(items):
         if len(item) not in (4, 6, 10):
             raise ValueError(f"contingency {i}: 4, 6 or 10 lists are needed, not {len(item)}")
