@@ -54,7 +54,8 @@ class Vocabulary:
             scores.append(model.get_score(i) if not model.is_byte(i) else np.nan)
         s = np.array(scores)
         if np.nanmin(s) < -100:
-            s = -np.log(2.0 - s)
+            # Characters that no merge made have scores far below any rank: they count as the last.
+            s = -np.log(2.0 - np.maximum(s, -float(len(scores))))
         s = np.where(np.isnan(s), np.nanmin(s), s)
         s -= np.log(np.exp(s).sum())
         return cls(np.array(ids, np.int32), np.frombuffer(b"".join(pieces), np.uint8), np.r_[0, np.cumsum([len(p) for p in pieces])], s)
