@@ -93,16 +93,16 @@ def filter_urls(df: DataFrame, listed: DataFrame, url: str = "url", listed_url:
     judged = (df.withColumn("__host", host_of(F.col(f"`{url}`"))).withColumn("__path", path_of(F.col(f"`{url}`")))
               .withColumn("__rule", rule).withColumn("__verdict", verdict)
               .withColumn("__key", F.when(F.col("__rule").isNull(), canonical(F.col("__host"), F.col("__path")))))
-    bloom = build_filter(block_list, "__key", n_blocks)
+    bloom = build_filter(block_list, "__key", n_blocks).selectExpr("block as __b", *[f"w{i} as __w{i}" for i in range(WORDS)])
     if n_blocks <= BROADCAST_BLOCKS:
         bloom = F.broadcast(bloom)
     block, word = _blocks(F.col("__key"), n_blocks)
     # Rows whose rule has decided, or that have no key, go round both joins: no null key is shuffled.
     open_rows = judged.where("__key is not null").withColumn("__block", block)
-    probed = open_rows.join(bloom, F.col("__block") == F.col("block"), "left")
+    probed = open_rows.join(bloom, F.col("__block") == F.col("__b"), "left")
     hit = F.lit(True)
     for i, w in enumerate(word):
-        hit = hit & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(w) != 0)
+        hit = hit & (F.coalesce(F.col(f"__w{i}"), F.lit(0)).bitwiseAND(w) != 0)
     probed = probed.withColumn("__hit", hit)
     exact = (probed.where("__hit").join(block_list.withColumn("__listed", F.lit(True)), "__key", "left")
              .withColumn("__verdict", F.when(F.col("__listed"), "block").otherwise("allow")))
