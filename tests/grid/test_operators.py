@@ -128,8 +128,8 @@ def test_gradient_against_differences(spark, grid):
     g = rng.standard_normal(14) + 1j * rng.standard_normal(14)
     opt = Options(tol=1e-12)
     h = 1e-4
-    s = [(0, int(b), x.real * 100, x.imag * 100) for b, x in zip(a.ids, a.sbus)]
-    plus, minus = ([(k, b, p + sign * h * 100 * (b == 9), q) for _, b, p, q in s] for k, sign in ((1, 1), (2, -1)))
+    s = [(0, int(b), float(x.real) * 100, float(x.imag) * 100) for b, x in zip(a.ids, a.sbus)]
+    plus, minus = ([(k, b, p + sign * h * 100 * float(b == 9), q) for _, b, p, q in s] for k, sign in ((1, 1), (2, -1)))
     sbus = spark.createDataFrame(s + plus + minus, "row_id long, bus_id int, p_mw double, q_mvar double")
     out = solve_rows(grid, row_inputs(grid, sbus, sbus), opt).cache()
     v = {r.row_id: np.array(r.vm) * np.exp(1j * np.array(r.va)) for r in out.collect()}
@@ -143,7 +143,7 @@ def test_stream_of_injections(spark, grid, tmp_path):
     from gridloom.streaming.scenarios import solve_stream
     t0 = datetime.datetime(2024, 1, 1)
     a = arrays(grid)
-    feed = [(t0 + datetime.timedelta(minutes=5 * k), int(b), x.real * 100, x.imag * 100) for k in range(8) for b, x in zip(a.ids, a.sbus)]
+    feed = [(t0 + datetime.timedelta(minutes=5 * k), int(b), float(x.real) * 100, float(x.imag) * 100) for k in range(8) for b, x in zip(a.ids, a.sbus)]
     spark.createDataFrame(feed, "ts timestamp, bus_id int, p_mw double, q_mvar double").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("ts timestamp, bus_id int, p_mw double, q_mvar double").parquet(str(tmp_path / "in"))
     seen = []
