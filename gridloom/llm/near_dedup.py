@@ -8,7 +8,9 @@ their sequence is the band's key: equal for texts that share those shingles in t
 Texts that share a key are not paired with each other but with the key's leader, whose choice
 differs from key to key; keys of two neighbouring bands together make finer buckets with leaders
 of their own. Each text is first aligned with the leader it met most often; links make components,
-and only pairs that still lie in different components are aligned after that. The alignment is the
+and only pairs that still lie in different components are aligned after that. Buckets that hold several
+components then elect the member that meets most others, and at last all their pairs of different
+components are aligned: two texts that share a key end in one class or have been aligned (or differ too much in length). The alignment is the
 longest common subsequence of shingles inside a band that every pair of enough similarity fits in;
 similarity is common / (n1 + n2 - common), two texts being linked at `similarity` or more.
 
@@ -38,6 +40,10 @@ SIMILARITY = 0.8
 #: A pair at 0.8 meets in one band with probability 0.8 ** 4, and in none of 20 with 3e-5.
 BANDS = 20
 LABELS = 4
+#: Leaders are elected again while more than this share of the pairs they are aligned with become links.
+FRUITFUL = 0.05
+#: Members of a bucket that one block holds against all the others.
+BLOCK = 256
 
 _U = np.uint64
 
@@ -127,10 +133,14 @@ def _sketches(k: int, bands: int, labels: int):
             one = np.sort(one)
             keys, texts = keys[one], b.column(1).take(pa.array(one))
             for lo, hi, data, off in text_chunks(texts):
-                full, key = sketch(*shingles(data, off, k), bands, labels)
+                sh, begin = shingles(data, off, k)
+                full, key = sketch(sh, begin, bands, labels)
                 finer = mix(key + np.roll(key, 1, axis=1) * _U(3))
                 both = np.concatenate([key, finer], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both.reshape(-1).view(np.int64)), pa.array(np.repeat(keys[lo:hi][full], 2 * bands))], names=["bucket", "tk"])
+                size = np.diff(begin)[full].astype(np.int32)
+                whole = np.tile(np.arange(2 * bands) < bands, len(full))
+                columns = both.reshape(-1).view(np.int64), np.repeat(keys[lo:hi][full], 2 * bands), np.repeat(size, 2 * bands), whole
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "tk", "n", "whole"])
     return run
 
 
@@ -162,13 +172,15 @@ def with_text_key(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def text_classes(docs: DataFrame, text: str = "text", k: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, labels: int = LABELS) -> DataFrame:
     """(node, label): the component of each text key that is linked to another."""
+    spark = docs.sparkSession
     keyed = with_text_key(docs.select(F.col(f"`{text}`").alias("text"))).where("__tk is not null").selectExpr("__tk as tk", "__body as body")
-    met = materialise(keyed.select("tk", "body").mapInArrow(_sketches(k, bands, labels), "bucket long, tk long"), "buckets")
+    met = materialise(keyed.select("tk", "body").mapInArrow(_sketches(k, bands, labels), "bucket long, tk long, n int, whole boolean"), "buckets")
     pick = F.struct(F.xxhash64("bucket", "tk").alias("by"), F.col("tk").alias("tk"))
     leaders = (met.groupBy("bucket").agg(F.min("tk").alias("lo"), F.max("tk").alias("hi"), F.min(pick).alias("first"))
                .where("lo <> hi").selectExpr("bucket", "first.tk as leader"))
-    votes = materialise(met.join(leaders, "bucket").where("tk <> leader").groupBy("tk", "leader").count(), "votes")
-    drop_scratch(docs.sparkSession, met)
+    shared = materialise(met.join(leaders, "bucket"), "shared")
+    drop_scratch(spark, met)
+    votes = materialise(shared.where("tk <> leader").groupBy("tk", "leader").count(), "votes")
     named = votes.select("tk").union(votes.select("leader")).distinct()
     # One text for each node; copies are folded before they are shuffled. Joins with texts are merge joins at every
     # size: the plan does not change (nor its growth bend) where a few nodes would fit a broadcast.
@@ -180,15 +192,80 @@ def text_classes(docs: DataFrame, text: str = "text", k: int = WORDS, least: flo
 
     pair = (F.least("tk", "leader").alias("a"), F.greatest("tk", "leader").alias("b"))
     best = votes.groupBy("tk").agg(F.max(F.struct("count", "leader")).alias("best")).selectExpr("tk", "best.leader as leader")
-    links = linked(best.select(*pair).distinct())
-    found = components(links)
-    rest = votes.select(*pair).distinct()
-    label = found.selectExpr("node as a", "label as la"), found.selectExpr("node as b", "label as lb")
-    rest = rest.join(label[0], "a", "left").join(label[1], "b", "left").where("la is null or lb is null or la <> lb").select("a", "b")
-    # Pairs that were aligned above and failed are not aligned again.
-    rest = rest.join(best.select(*pair).distinct(), ["a", "b"], "left_anti")
-    more = linked(rest)
-    return components(links.union(more)) if not more.isEmpty() else found
+    tried = materialise(best.select(*pair).distinct(), "pairs")
+    found = components(linked(tried))
+    # Pairs that were aligned before and failed are not aligned again.
+    rest = materialise(_apart(votes.select(*pair).distinct(), found).join(tried, ["a", "b"], "left_anti"), "pairs")
+    found, tried = _merged(found, linked(rest)), tried.union(rest)
+
+    # Members of a bucket with more than one class left: first with the member that meets most others, while that
+    # links a fair part of the pairs, and then all pairs of different classes.
+    members = shared.where("whole").select("bucket", "tk", "n")
+    sizes = members.groupBy("bucket").count()
+    central = materialise(members.join(sizes, "bucket").groupBy("tk").agg(F.sum("count").alias("meets")), "meets")
+    led = None
+    while True:
+        still = _open(members, found)
+        ranked = still.join(central, "tk")
+        if led is not None:
+            ranked = ranked.join(led, ["bucket", "tk"], "left_anti")
+        chosen = materialise(ranked.groupBy("bucket").agg(F.max(F.struct("meets", "tk", "n", "label")).alias("c"))
+                             .selectExpr("bucket", "c.tk as leader", "c.n as m", "c.label as lb"), "leaders")
+        met = still.join(chosen, "bucket").where("label <> lb").where(_fits("n", "m", least)).select(*pair).distinct()
+        pairs = materialise(met.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = linked(pairs)
+        asked, got = pairs.count(), more.count()
+        found, tried = _merged(found, more), tried.union(pairs)
+        chosen = chosen.selectExpr("bucket", "leader as tk")
+        led = chosen if led is None else led.union(chosen)
+        if got <= FRUITFUL * asked:
+            break
+    pairs = materialise(_cross(_open(members, found), least).join(tried, ["a", "b"], "left_anti"), "pairs")
+    return _merged(found, linked(pairs))
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that do not lie in one component."""
+    both = pairs.join(found.selectExpr("node as a", "label as la"), "a", "left").join(found.selectExpr("node as b", "label as lb"), "b", "left")
+    return both.where("la is null or lb is null or la <> lb").select("a", "b")
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found (node, label) after more links: only the labels that they join are worked on."""
+    if links.isEmpty():
+        return found
+    named = (links.join(found.selectExpr("node as a", "label as la"), "a", "left").join(found.selectExpr("node as b", "label as lb"), "b", "left")
+             .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct())
+    up = components(named)
+    old = found.join(up.selectExpr("node as label", "label as onward"), "label", "left").select("node", F.coalesce("onward", "label").alias("label"))
+    return materialise(old.union(up.join(found, "node", "left_anti").select("node", "label")), "labels")
+
+
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, tk, n, label): the members of the buckets that hold more than one component."""
+    named = members.join(found.selectExpr("node as tk", "label"), "tk", "left").select("bucket", "tk", "n", F.coalesce("label", "tk").alias("label"))
+    several = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    return materialise(named.join(several, "bucket").distinct(), "open")
+
+
+def _fits(n: str, m: str, least: float):
+    """Shingle counts that allow a similarity of `least`."""
+    return F.least(n, m) >= (least - 1e-9) * F.greatest(n, m)
+
+
+def _cross(still: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of a bucket that lie in different components: the members outside its largest one with every member.
+
+    The outer members are dealt to blocks, each of which meets the whole bucket, so a large bucket is not one task's.
+    """
+    by_label = still.groupBy("bucket", "label").count()
+    top = by_label.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("size"))
+    top = top.selectExpr("bucket", "top.label as main", f"1 + (size - top.count) div {BLOCK} as blocks")
+    rows = materialise(still.join(top, "bucket"), "blocks")
+    outer = rows.where("label <> main").selectExpr("bucket", "pmod(xxhash64(tk), blocks) as block", "tk", "n", "label", "main")
+    every = rows.selectExpr("bucket", "explode(sequence(0L, blocks - 1)) as block", "tk as leader", "n as m", "label as lb")
+    met = outer.hint("merge").join(every, ["bucket", "block"]).where("label <> lb and (lb = main or tk < leader)").where(_fits("n", "m", least))
+    return met.select(F.least("tk", "leader").alias("a"), F.greatest("tk", "leader").alias("b")).distinct()
 
 
 def near_dups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, labels: int = LABELS) -> DataFrame:

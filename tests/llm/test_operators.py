@@ -80,6 +80,40 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
 
 
+def test_variants_of_one_base_are_one_class(spark):
+    r = np.random.default_rng(21)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for i in range(150):
+        w = base.copy()
+        for j, at in enumerate(r.choice(np.arange(10, 190, 9), 4, replace=False)):
+            w[at] = f"v{i}x{j}"
+        texts.append(" ".join(w))
+    got = near_dedup.near_dups(docs_of(spark, texts)).collect()
+    assert {x.class_id for x in got} == {0} and {x.class_size for x in got} == {151}
+
+
+def test_every_pair_of_a_bucket_is_aligned_or_linked(spark):
+    r = np.random.default_rng(22)
+    texts = []
+    for base in range(3):
+        words = [f"b{base}w{i}" for i in range(80)]
+        for i in range(25):
+            w = words.copy()
+            for j, at in enumerate(r.choice(np.arange(5, 75, 7), int(r.integers(1, 4)), replace=False)):
+                w[at] = f"v{i}x{j}"
+            texts.append(" ".join(w))
+    seqs = [[tuple(t.split()[i : i + 5]) for i in range(76)] for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            m = lcs(seqs[i], seqs[j]) if i // 25 == j // 25 else 0
+            if m / (152 - m) >= 0.8:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert {x.doc_id: x.class_id for x in near_dedup.near_dups(docs_of(spark, texts)).collect()} == dict(enumerate(label))
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_dups(spark.createDataFrame([], EMPTY)).count() == 0
 
