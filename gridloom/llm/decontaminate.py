@@ -4,8 +4,8 @@ Texts are read as words (runs of letters and digits, A-Z lower-cased). A passage
 one for every PASSAGE words, the search one for every STRIDE. Terms are the benchmark's words but for those of more than STOP_SHARE of its items. The TF-IDF
 matrix of all passages (idf counted over all of them) gets a randomised SVD: each task multiplies its rows with one
 Gaussian matrix and back, the sums (terms x rank) meet by term, and the Nystrom formula gives singular values and
-right vectors from them in one pass. Passages and items are compared by cosine in that space; pairs of COSINE or more
-that share TERM_SHARE of the item's terms are candidates. A candidate's words, taken with as many around it as the item has, are held against the item by their longest
+right vectors from them in one pass. Passages and items, these in parts of PASSAGE words, are compared by cosine in that space; pairs of COSINE or more
+that share TERM_SHARE of the part's terms are candidates. A candidate's words, taken with as many around it as the item has, are held against the item by their longest
 common subsequence: LEAK of the item's words or more is a leak; PARAPHRASE or more is one if the answer (the item's last ANSWER
 words) is there in order as well.
 
@@ -34,7 +34,7 @@ PASSAGE, STRIDE = 48, 24
 STOP_SHARE = 0.1
 RANK, OVERSAMPLE = 128, 16
 COSINE = 0.4
-#: Half the words in common, half of an item in its best passage.
+#: Half the words in common, half of an item's part in its best passage.
 TERM_SHARE = 0.25
 LEAK, PARAPHRASE, ANSWER = 0.8, 0.5, 5
 ITEMS = 10_000
@@ -56,6 +56,19 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return span_hash(prefix_sums(_LOWER[data]), s, np.flatnonzero(end) + 1), np.searchsorted(s, off)
 
 
+def pieces(seqs: list[np.ndarray], size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each sequence in parts of `size` words, the last of which ends with it: their sequences' numbers and the parts."""
+    cut = [(i, max(0, min(lo, len(s) - size)), s) for i, s in enumerate(seqs) for lo in range(0, len(s), size)]
+    return np.array([i for i, _, _ in cut], np.int64), [s[lo : lo + size] for _, lo, s in cut]
+
+
+def _piece_terms(bench: "Benchmark", parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, term, count) triples in order."""
+    a = [(i, *x) for i, s in enumerate(parts) for t in [bench.lookup(s)] for x in zip(*np.unique(t[t >= 0], return_counts=True), strict=True)]
+    p, t, c = (np.array(x, np.int64) for x in zip(*a, strict=True)) if a else (np.zeros(0, np.int64),) * 3
+    return p, t, c
+
+
 class Benchmark:
     """One block of items: their word sequences, terms and, once known, vectors."""
 
@@ -191,8 +204,8 @@ def latent_space(compact: DataFrame, idf: np.ndarray, rank: int = RANK, seed: in
     return v[:, :rank], np.sqrt(np.maximum(s[:rank] ** 2 - shift, 0))
 
 
-def _candidates(idf: np.ndarray, v: np.ndarray, items: np.ndarray, item_terms: np.ndarray, least_terms: int, cosine: float):
-    """Rows (rk, passage number, item) of cosine or more; item_terms: sorted item * len(idf) + term."""
+def _candidates(idf: np.ndarray, v: np.ndarray, items: np.ndarray, owner: np.ndarray, item_terms: np.ndarray, least_terms: int, cosine: float):
+    """Rows (rk, passage number, item) of cosine or more with a part of an item; items, item_terms (sorted part * len(idf) + term): of the parts, owner: their items."""
     n_terms = np.bincount(item_terms // len(idf), minlength=len(items))
 
     def shared(item: np.ndarray, p: np.ndarray, start: np.ndarray, size: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -221,7 +234,7 @@ def _candidates(idf: np.ndarray, v: np.ndarray, items: np.ndarray, item_terms: n
                         near = shared(at + i, part[p], start, size, t) >= TERM_SHARE * n_terms[at + i]
                         p, i = p[near], i[near]
                     if len(p):
-                        yield pa.RecordBatch.from_arrays([b.column("rk").take(pa.array(own[part[p]])), pa.array(number[part[p]].astype(np.int32)), pa.array((at + i).astype(np.int32))], names=["rk", "number", "item"])
+                        yield pa.RecordBatch.from_arrays([b.column("rk").take(pa.array(own[part[p]])), pa.array(number[part[p]].astype(np.int32)), pa.array(owner[at + i].astype(np.int32))], names=["rk", "number", "item"])
     return run
 
 
@@ -297,12 +310,12 @@ def _leaks_of(keyed: DataFrame, bench: Benchmark, rank: int, cosine: float, leak
             df[r["term"]] = r["n"]
     idf = np.log((n + 1) / (df + 1)) + 1e-3
     v, _ = latent_space(compact, idf, rank)
-    a = [(i, *x) for i, s in enumerate(bench.seqs) for t in [bench.lookup(s)] for x in zip(*np.unique(t[t >= 0], return_counts=True), strict=True)]
-    p, t, c = (np.array(x, np.int64) for x in zip(*a, strict=True)) if a else (np.zeros(0, np.int64),) * 3
-    vectors = _rows_times(p, t, _weights(p, t, c, idf, len(bench.seqs)), v.astype(np.float32), len(bench.seqs)) if len(p) else np.zeros((len(bench.seqs), v.shape[1]), np.float32)
+    owner, parts = pieces(bench.seqs, PASSAGE)
+    p, t, c = _piece_terms(bench, parts)
+    vectors = _rows_times(p, t, _weights(p, t, c, idf, len(parts)), v.astype(np.float32), len(parts)) if len(p) else np.zeros((len(parts), v.shape[1]), np.float32)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]
-    least = int(min([TERMS, *np.bincount(p, minlength=len(bench.seqs))])) if len(p) else 0
-    met = materialise(compact.mapInArrow(_candidates(idf, v, vectors, np.sort(p * len(idf) + t), max(least, 1), cosine), "rk long, number int, item int").distinct(), "candidates")
+    least = int(min([TERMS, *np.bincount(p, minlength=len(parts))])) if len(p) else 0
+    met = materialise(compact.mapInArrow(_candidates(idf, v, vectors, owner, np.sort(p * len(idf) + t), max(least, 1), cosine), "rk long, number int, item int").distinct(), "candidates")
     # A text's own candidates: their number follows its length.
     listed = met.groupBy("rk").agg(F.collect_list(F.struct("number", "item")).alias("found"))
     confirmed = keyed.select("rk", "text").join(listed, "rk").mapInArrow(_confirm(bench, leak, paraphrase, answer), "rk long, item int, share double")

@@ -319,6 +319,19 @@ def test_leaks_against_planted_items(spark):
     assert decontaminate.contamination(spark.createDataFrame([], EMPTY), bench).count() == 0
 
 
+def leaked(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {x.doc_id: x.item_id for x in decontaminate.contamination(docs_of(spark, texts), bench).collect() if x.contaminated}
+
+
+def test_long_items_are_found(spark):
+    r = np.random.default_rng(31)
+    wide = [f"t{i}" for i in range(4000)]
+    items = [" ".join(r.choice(wide, 500, replace=False)) for _ in range(6)] + [prose(30, r) for _ in range(30)]
+    texts = [prose(100, r) + f" {items[i]} " + prose(100, r) for i in range(6)] + [prose(300, r) for _ in range(20)]
+    assert leaked(spark, items, texts) == {i: i for i in range(6)}
+
+
 # ---- 10 -----------------------------------------------------------------------------------------
 
 def test_urls(spark):
