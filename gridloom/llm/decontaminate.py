@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval, checked by common subsequences and answers.
 
 Texts are read as words (runs of letters and digits, A-Z lower-cased). A passage is PASSAGE words; the matrix has
-one for every PASSAGE words, the search one for every STRIDE. Terms are the benchmark's words but for those of more than STOP_SHARE of its items. The TF-IDF
+one for every PASSAGE words, the search one for every STRIDE. Terms are the benchmark's words but for those of more than STOP_SHARE of its
+different items; an item that is left with less than LEFT of its words, or fewer than TERMS, keeps them all. The TF-IDF
 matrix of all passages (idf counted over all of them) gets a randomised SVD: each task multiplies its rows with one
 Gaussian matrix and back, the sums (terms x rank) meet by term, and the Nystrom formula gives singular values and
 right vectors from them in one pass. Passages and items, these in parts of PASSAGE words, are compared by cosine in that space; pairs of COSINE or more
@@ -32,6 +33,8 @@ from .quality import _KIND, _LOWER
 
 PASSAGE, STRIDE = 48, 24
 STOP_SHARE = 0.1
+#: An item that would lose more of its different words than this leaves keeps them all.
+LEFT = 0.5
 RANK, OVERSAMPLE = 128, 16
 COSINE = 0.4
 #: Half the words in common, half of an item's part in its best passage.
@@ -81,10 +84,12 @@ class Benchmark:
                 if first[i + 1] > first[i]:
                     self.ids.append(ids[lo + i])
                     self.seqs.append(h[first[i] : first[i + 1]])
-        term, df = np.unique(np.concatenate([np.unique(s) for s in self.seqs] or [np.zeros(0, np.uint64)]), return_counts=True)
-        self.terms = term[df <= max(1, stop_share * len(self.seqs))]
-        if not len(self.terms):
-            self.terms = term
+        # An item given twice is counted once.
+        own = [np.unique(s) for s in {s.tobytes(): s for s in self.seqs}.values()]
+        term, df = np.unique(np.concatenate(own or [np.zeros(0, np.uint64)]), return_counts=True)
+        rare = term[df <= max(1, stop_share * len(own))]
+        kept = [np.isin(w, rare).sum() for w in own]
+        self.terms = np.unique(np.concatenate([rare, *(w for w, k in zip(own, kept, strict=True) if k < max(TERMS, LEFT * len(w)))]))
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Term number of each word, -1 for others."""

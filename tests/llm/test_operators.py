@@ -332,6 +332,16 @@ def test_long_items_are_found(spark):
     assert leaked(spark, items, texts) == {i: i for i in range(6)}
 
 
+def test_repeated_and_templated_items_are_found(spark):
+    r = np.random.default_rng(32)
+    items = [prose(30, r) for _ in range(40)]
+    near = [items[0].rsplit(" ", 1)[0] + f" end{i}" for i in range(20)]
+    texts = [prose(100, r) + f" {items[0]} " + prose(100, r)] + [prose(300, r) for _ in range(20)]
+    for more in ([items[0]] * 20, near):
+        assert set(leaked(spark, items + more, texts)) == {0}
+    assert set(leaked(spark, [items[0], items[0], items[1]], texts)) == {0}
+
+
 # ---- 10 -----------------------------------------------------------------------------------------
 
 def test_urls(spark):
