@@ -6,7 +6,8 @@ different items; an item that is left with less than LEFT of its words, or fewer
 matrix of all passages (idf counted over all of them) gets a randomised SVD: each task multiplies its rows with one
 Gaussian matrix and back, the sums (terms x rank) meet by term, and the Nystrom formula gives singular values and
 right vectors from them in one pass. Passages and items, these in parts of PASSAGE words, are compared by cosine in that space; pairs of COSINE or more
-that share TERM_SHARE of the part's terms are candidates. A candidate's words, taken with as many around it as the item has, are held against the item by their longest
+that share TERM_SHARE of the part's terms are candidates, and so are passages that hold STRETCH_SHARE of the different terms of STRIDE
+words of an item, whatever else stands in them. A candidate's words, taken with as many around it as the item has, are held against the item by their longest
 common subsequence: LEAK of the item's words or more is a leak; PARAPHRASE or more is one if the answer (the item's last ANSWER
 words) is there in order as well.
 
@@ -39,6 +40,8 @@ RANK, OVERSAMPLE = 128, 16
 COSINE = 0.4
 #: Half the words in common, half of an item's part in its best passage.
 TERM_SHARE = 0.25
+#: Of the different terms of STRIDE words of an item: such a passage is a candidate at any cosine.
+STRETCH_SHARE = 0.6
 LEAK, PARAPHRASE, ANSWER = 0.8, 0.5, 5
 ITEMS = 10_000
 #: A passage with fewer different terms is not looked up, unless an item has as few.
@@ -209,8 +212,53 @@ def latent_space(compact: DataFrame, idf: np.ndarray, rank: int = RANK, seed: in
     return v[:, :rank], np.sqrt(np.maximum(s[:rank] ** 2 - shift, 0))
 
 
-def _candidates(idf: np.ndarray, v: np.ndarray, items: np.ndarray, owner: np.ndarray, item_terms: np.ndarray, least_terms: int, cosine: float):
-    """Rows (rk, passage number, item) of cosine or more with a part of an item; items, item_terms (sorted part * len(idf) + term): of the parts, owner: their items."""
+class Stretches:
+    """The items in parts of STRIDE words, each of which stands whole in some passage, to be looked up by shared terms."""
+
+    def __init__(self, bench: Benchmark, df: np.ndarray):
+        self.owner, parts = pieces(bench.seqs, STRIDE)
+        p, t, _ = _piece_terms(bench, parts)
+        self.n_terms = len(df)
+        self.codes = p * self.n_terms + t
+        size = np.bincount(p, minlength=len(parts))
+        self.need = np.maximum(np.ceil(STRETCH_SHARE * size - 1e-9), 1).astype(np.int64)
+        # Whoever has `need` of a part's terms has one of its size - need + 1 rarest.
+        by = np.lexsort((t, df[t], p))
+        rank = np.arange(len(by)) - np.repeat(np.cumsum(size) - size, size)
+        by = by[rank < (size - self.need + 1)[p[by]]]
+        by = by[np.argsort(t[by], kind="stable")]
+        self.part = p[by]
+        self.first = np.searchsorted(t[by], np.arange(self.n_terms + 1))
+
+    def met(self, passage: np.ndarray, t: np.ndarray, n: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(passage, item) pairs that share STRETCH_SHARE of a part's terms; (passage, t) in order."""
+        posts = self.first[t + 1] - self.first[t]
+        begin = np.searchsorted(passage, np.arange(n + 1))
+        total = np.r_[0, np.cumsum(posts)][begin]
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most, "right")) - 1)
+            at = np.arange(begin[lo], begin[hi])
+            at = at[posts[at] > 0]
+            if len(at):
+                c = posts[at]
+                post = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c - self.first[t[at]], c)
+                pair = np.unique(np.repeat(passage[at], c) * len(self.need) + self.part[post])
+                p, part = pair // len(self.need), pair % len(self.need)
+                for cut in range(0, len(pair), most // 16):
+                    q, own = p[cut : cut + most // 16], part[cut : cut + most // 16]
+                    k = begin[q + 1] - begin[q]
+                    inside = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k - begin[q], k)
+                    code = np.repeat(own, k) * self.n_terms + t[inside]
+                    hit = self.codes[np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)] == code
+                    good = np.bincount(np.repeat(np.arange(len(q)), k), weights=hit, minlength=len(q)) >= self.need[own]
+                    if good.any():
+                        yield q[good], self.owner[own[good]]
+            lo = hi
+
+
+def _candidates(idf: np.ndarray, v: np.ndarray, items: np.ndarray, owner: np.ndarray, item_terms: np.ndarray, least_terms: int, cosine: float, stretches: Stretches):
+    """Rows (rk, passage number, item) of cosine or more with a part of an item; items, item_terms (sorted part * len(idf) + term): of the parts, owner: their items. And those that share enough terms with a stretch."""
     n_terms = np.bincount(item_terms // len(idf), minlength=len(items))
 
     def shared(item: np.ndarray, p: np.ndarray, start: np.ndarray, size: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -230,6 +278,8 @@ def _candidates(idf: np.ndarray, v: np.ndarray, items: np.ndarray, owner: np.nda
             z /= np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
             size = np.bincount(passage, minlength=len(own))
             start = np.cumsum(size) - size
+            for p, i in stretches.met(passage, t, len(own)):
+                yield pa.RecordBatch.from_arrays([b.column("rk").take(pa.array(own[p])), pa.array(number[p].astype(np.int32)), pa.array(i.astype(np.int32))], names=["rk", "number", "item"])
             rows = np.flatnonzero(size >= least_terms)
             for lo in range(0, len(rows), 4096):
                 part = rows[lo : lo + 4096]
@@ -320,7 +370,7 @@ def _leaks_of(keyed: DataFrame, bench: Benchmark, rank: int, cosine: float, leak
     vectors = _rows_times(p, t, _weights(p, t, c, idf, len(parts)), v.astype(np.float32), len(parts)) if len(p) else np.zeros((len(parts), v.shape[1]), np.float32)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]
     least = int(min([TERMS, *np.bincount(p, minlength=len(parts))])) if len(p) else 0
-    met = materialise(compact.mapInArrow(_candidates(idf, v, vectors, owner, np.sort(p * len(idf) + t), max(least, 1), cosine), "rk long, number int, item int").distinct(), "candidates")
+    met = materialise(compact.mapInArrow(_candidates(idf, v, vectors, owner, np.sort(p * len(idf) + t), max(least, 1), cosine, Stretches(bench, df)), "rk long, number int, item int").distinct(), "candidates")
     # A text's own candidates: their number follows its length.
     listed = met.groupBy("rk").agg(F.collect_list(F.struct("number", "item")).alias("found"))
     confirmed = keyed.select("rk", "text").join(listed, "rk").mapInArrow(_confirm(bench, leak, paraphrase, answer), "rk long, item int, share double")

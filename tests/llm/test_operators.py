@@ -342,6 +342,14 @@ def test_repeated_and_templated_items_are_found(spark):
     assert set(leaked(spark, [items[0], items[0], items[1]], texts)) == {0}
 
 
+def test_short_items_among_benchmark_words_are_found(spark):
+    r = np.random.default_rng(33)
+    wide = [f"t{i}" for i in range(3000)]
+    items = [" ".join(r.choice(wide, 6 + i % 5, replace=False)) for i in range(60)] + [" ".join(r.choice(wide, 40)) for _ in range(300)]
+    texts = [" ".join([*r.choice(wide, 60), items[i], *r.choice(wide, 60)]) for i in range(60)] + [" ".join(r.choice(wide, 300)) for _ in range(20)]
+    assert leaked(spark, items, texts) == {i: i for i in range(60)}
+
+
 # ---- 10 -----------------------------------------------------------------------------------------
 
 def test_urls(spark):
