@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder (tests on one machine).
+#: Used only where the session names no checkpoint folder and runs on one machine (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
@@ -15,13 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor and the driver can reach."""
+    """The folder of spark.checkpoint.dir, which every executor and the driver can reach. A cluster without one is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    return context.getCheckpointDir().get().rstrip("/")
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI of the file system that Spark takes it to lie on."""
+    p, fs = _path(spark, path)
+    return re.sub(r"^file:/+", "file:///", fs.makeQualified(p).toString())
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -36,11 +51,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
-    """Remove a table that materialise() made, once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for p in parents:
-        if "/gridloom-" in p:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_scratch(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove tables that materialise() made, once nothing reads them any more."""
+    for df in tables:
+        for p in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/gridloom-" in p:
+                path, fs = _path(spark, p)
+                fs.delete(path, True)

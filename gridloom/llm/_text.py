@@ -1,8 +1,10 @@
-"""Whole texts as NumPy arrays: chunks of rows, 64-bit polynomial hashes of any span, words."""
+"""Whole texts as NumPy arrays: chunks of rows, 64-bit polynomial hashes of any span, words, look-ups of hashes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,9 @@ def powers(base: int, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         a = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
         a[0] = 1
-        have = _powers[base] = np.multiply.accumulate(a)
+        have = np.multiply.accumulate(a)
+        if len(have) == CHUNK_BYTES + 1:  # those of a longer text are not kept
+            _powers[base] = have
     return have[:n]
 
 
@@ -95,3 +99,51 @@ def group_starts(sorted_keys: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(0, np.int64)
     return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
+
+
+class HashIndex:
+    """Numbers of distinct, well mixed 64-bit hashes by open addressing: a look-up is a gather or two, not a binary search."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift = _U(64 - bits)
+        # Room behind the last slot: a run of taken slots never wraps.
+        self.key = np.zeros((1 << bits) + len(keys) + 1, np.uint64)
+        self.number = np.full(len(self.key), -1, np.int32)
+        todo, at = np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
+        while len(todo):
+            _, first = np.unique(at, return_index=True)
+            first = first[self.number[at[first]] < 0]
+            self.number[at[first]] = todo[first]
+            self.key[at[first]] = keys[todo[first]]
+            left = np.ones(len(todo), bool)
+            left[first] = False
+            todo, at = todo[left], at[left] + 1
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 where it is none of the keys."""
+        at = (hashes >> self.shift).astype(np.int64)
+        out = self.number[at]
+        far = np.flatnonzero((out >= 0) & (self.key[at] != hashes))
+        while len(far):
+            at[far] += 1
+            out[far] = self.number[at[far]]
+            far = far[(out[far] >= 0) & (self.key[at[far]] != hashes[far])]
+        return out
+
+
+def _release() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task shouldn't hold what the last one took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, with freed memory given back at the end of each task."""
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _release()
+    return wrapped

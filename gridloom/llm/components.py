@@ -9,7 +9,7 @@ from ._shared import drop_scratch, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a long, b long): (node, label) with label the least node of its component.
+    """edges (a, b) of any type that has an order: (node, label) with label the least node of its component.
 
     Each round takes the least label among neighbours (a sum by key that combines before the
     shuffle) and then the label's own label, so the rounds grow with the logarithm of the longest
