@@ -58,6 +58,30 @@ def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((p[end] - p[start]) * powers(_INVERSE, len(p))[start] + (end - start).astype(np.uint64))
 
 
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Spans of more bytes are hashed by running sums over the bytes, shorter ones eight bytes a step.
+_SHORT = 64
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each of many short spans data[start:end], the same for equal spans."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, np.uint64, padded.data, 0, (1,))  # the eight bytes from each place
+    n = end - start
+    h = mix(mix(n.astype(np.uint64)) ^ eight[start] & _MASK[np.minimum(n, 8)])
+    todo = np.flatnonzero((n > 8) & (n <= _SHORT))
+    at, left = start[todo] + 8, n[todo] - 8
+    while len(todo):
+        h[todo] = mix(h[todo] ^ eight[at] & _MASK[np.minimum(left, 8)])
+        on = left > 8
+        todo, at, left = todo[on], at[on] + 8, left[on] - 8
+    far = np.flatnonzero(n > _SHORT)
+    if len(far):
+        h[far] = span_hash(prefix_sums(data), start[far], end[far])
+    return h
+
+
 def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets in bytes) for consecutive rows; null: empty."""
     if len(column) == 0:

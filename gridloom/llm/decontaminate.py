@@ -9,13 +9,15 @@ right vectors from them in one pass. Passages and items, these in parts of PASSA
 that share TERM_SHARE of the part's terms are candidates, and so are passages that hold STRETCH_SHARE of the different terms of STRIDE
 words of an item, whatever else stands in them. A candidate's words, taken with as many around it as the item has, are held against the item by their longest
 common subsequence: LEAK of the item's words or more is a leak; PARAPHRASE or more is one if the answer (the item's last ANSWER
-words) is there in order as well.
+words) is there in order as well. Items of fewer words than ANSWER are too short to tell a leak from chance: they leak nothing.
 
-The benchmark is taken in blocks of at most ITEMS items, each held by every task; nothing else is held whole. Words
-are counted as one where they are the same 64-bit hash.
+A text is tokenised once for each block of items; from there on it is the places of the words that the block's items have, which is all that
+the matrix, the search and the check look at. A block has at most ITEMS items and about MOST_WORDS different words: what the tasks are
+given (a row of the rank's length for each term) and what the driver gathers are bounded by that. Words are counted as one where they
+are the same 64-bit hash. Of a very long text the words are held whole.
 
-Nulls and empty texts leak nothing, nor do null, empty or wordless items. Repeated rows are judged alike, repeated items are items
-each. Empty tables: nothing leaks. Null ids stay null. Other columns are not read.
+Nulls and empty texts leak nothing, nor do null, empty or wordless items. Repeated rows are judged alike; items with equal texts are
+searched for once and count as items each (the least id speaks for them). Empty tables: nothing leaks. Null ids stay null. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,9 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialise
-from ._text import prefix_sums, span_hash, text_chunks
-from .near_dedup import common_subsequence
+from ._shared import drop_scratch, materialise
+from ._text import HashIndex, lean, text_chunks, word_hashes
 from .quality import _KIND, _LOWER
 
 PASSAGE, STRIDE = 48, 24
@@ -44,6 +45,9 @@ TERM_SHARE = 0.25
 STRETCH_SHARE = 0.6
 LEAK, PARAPHRASE, ANSWER = 0.8, 0.5, 5
 ITEMS = 10_000
+MOST_WORDS = 50_000
+#: Words of texts whose passages are held at once (a longer single text is held whole).
+SLICE_WORDS = 1 << 17
 #: A passage with fewer different terms is not looked up, unless an item has as few.
 TERMS = 3
 
@@ -59,7 +63,7 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start[1:] &= ~word[:-1] | edge[1:-1]
     end[:-1] &= ~word[1:] | edge[1:-1]
     s = np.flatnonzero(start)
-    return span_hash(prefix_sums(_LOWER[data]), s, np.flatnonzero(end) + 1), np.searchsorted(s, off)
+    return word_hashes(_LOWER[data], s, np.flatnonzero(end) + 1), np.searchsorted(s, off)
 
 
 def pieces(seqs: list[np.ndarray], size: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -68,85 +72,96 @@ def pieces(seqs: list[np.ndarray], size: int) -> tuple[np.ndarray, list[np.ndarr
     return np.array([i for i, _, _ in cut], np.int64), [s[lo : lo + size] for _, lo, s in cut]
 
 
-def _piece_terms(bench: "Benchmark", parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(part, term, count) triples in order."""
-    a = [(i, *x) for i, s in enumerate(parts) for t in [bench.lookup(s)] for x in zip(*np.unique(t[t >= 0], return_counts=True), strict=True)]
-    p, t, c = (np.array(x, np.int64) for x in zip(*a, strict=True)) if a else (np.zeros(0, np.int64),) * 3
-    return p, t, c
-
-
 class Benchmark:
-    """One block of items: their word sequences, terms and, once known, vectors."""
+    """One block of items: their word sequences, the different words, which of them are terms and, once known, vectors."""
 
-    def __init__(self, ids: list, texts: list[str | None], stop_share: float = STOP_SHARE):
-        self.ids, self.seqs = [], []
+    def __init__(self, ids: list, texts: list[str | None], stop_share: float = STOP_SHARE, least: int = ANSWER):
+        self.ids, seqs = [], []
         column = pa.array([t or "" for t in texts], pa.string())
         for lo, hi, data, off in text_chunks(column):
             h, first = words(data, off)
             for i in range(hi - lo):
-                if first[i + 1] > first[i]:
+                if first[i + 1] - first[i] >= least:
                     self.ids.append(ids[lo + i])
-                    self.seqs.append(h[first[i] : first[i + 1]])
+                    seqs.append(h[first[i] : first[i + 1]])
+        self.words = np.unique(np.concatenate(seqs or [np.zeros(0, np.uint64)]))
+        self.seqs = [np.searchsorted(self.words, s) for s in seqs]
         # An item given twice is counted once.
         own = [np.unique(s) for s in {s.tobytes(): s for s in self.seqs}.values()]
-        term, df = np.unique(np.concatenate(own or [np.zeros(0, np.uint64)]), return_counts=True)
-        rare = term[df <= max(1, stop_share * len(own))]
-        kept = [np.isin(w, rare).sum() for w in own]
-        self.terms = np.unique(np.concatenate([rare, *(w for w, k in zip(own, kept, strict=True) if k < max(TERMS, LEFT * len(w)))]))
+        df = np.bincount(np.concatenate(own or [np.zeros(0, np.int64)]), minlength=len(self.words))
+        self.term = df <= max(1, stop_share * len(own))
+        rare = self.term.copy()
+        for w in own:
+            if rare[w].sum() < max(TERMS, LEFT * len(w)):
+                self.term[w] = True
 
-    def lookup(self, h: np.ndarray) -> np.ndarray:
-        """Term number of each word, -1 for others."""
-        at = np.minimum(np.searchsorted(self.terms, h), max(len(self.terms) - 1, 0))
-        return np.where(self.terms[at] == h, at, -1) if len(self.terms) else np.full(len(h), -1)
+
+def _piece_terms(bench: Benchmark, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, term, count) triples in order."""
+    a = [(i, *x) for i, s in enumerate(parts) for x in zip(*np.unique(s[bench.term[s]], return_counts=True), strict=True)]
+    p, t, c = (np.array(x, np.int64) for x in zip(*a, strict=True)) if a else (np.zeros(0, np.int64),) * 3
+    return p, t, c
 
 
-def _terms_of(bench: Benchmark):
+def _words_of(bench: Benchmark):
+    """Rows (key, text): the places of the items' words in each text that has any, and which words they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = HashIndex(bench.words)
         for b in batches:
             for lo, hi, data, off in text_chunks(b.column("text")):
                 h, first = words(data, off)
-                t = bench.lookup(h)
+                t = index.find(h)
                 at = np.flatnonzero(t >= 0)
                 row = np.searchsorted(first, at, "right") - 1
                 cut = np.searchsorted(at, first)
-                lists = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (at - first[row], t[at])]
-                yield pa.RecordBatch.from_arrays([b.column("rk").slice(lo, hi - lo), *lists], names=["rk", "place", "term"])
-    return run
+                some = pa.array(np.flatnonzero(np.diff(cut)))
+                lists = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x.astype(np.int32))).take(some) for x in (at - first[row], t[at])]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo).take(some) for c in ("x", "y")), *lists], names=["x", "y", "place", "word"])
+    return lean(run)
 
 
-def passages(b: pa.RecordBatch, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def passages(b: pa.RecordBatch, term: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(passage, term, count) triples in order, and each passage's row in b and its number in the text."""
-    place, term = b.column("place"), b.column("term")
+    place, word = b.column("place"), b.column("word")
     row = np.repeat(np.arange(b.num_rows), np.asarray(place.value_lengths()))
-    p, t = np.asarray(place.flatten()).astype(np.int64), np.asarray(term.flatten()).astype(np.int64)
+    p, t = np.asarray(place.flatten()).astype(np.int64), np.asarray(word.flatten()).astype(np.int64)
+    real = term[t]
+    row, p, t = row[real], p[real], t[real]
     here = p // stride
     reach = PASSAGE // stride
     parts = [(row[m], (here - back)[m], t[m]) for back in range(reach) for m in [here >= back]]
     row, number, t = (np.concatenate(x) for x in zip(*parts, strict=True))
     most = int(number.max(initial=0)) + 1
-    width = int(t.max(initial=0)) + 1
+    width = len(term)
     pair, count = np.unique((row * most + number) * width + t, return_counts=True)
     where, t = pair // width, pair % width
-    own, passage = np.unique(where, return_inverse=True)
-    return passage, t, count, own // most, own % most
+    # Passages stand together: their numbers are running counts of changes.
+    new = np.r_[True, where[1:] != where[:-1]] if len(where) else np.zeros(0, bool)
+    own = where[new]
+    return np.cumsum(new) - 1, t, count, own // most, own % most
 
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose passages fit in a worker's memory many times over."""
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about SLICE_WORDS words: their passages fit in a worker's memory many times over."""
     for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
+        off = np.asarray(b.column("place").offsets)
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + SLICE_WORDS, "right")) - 1)
+            yield b.slice(lo, hi - lo)
+            lo = hi
 
 
-def _df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = np.zeros(1, np.int64), 0
-    for b in _small(batches):
-        passage, t, _, own, _ = passages(b, PASSAGE)
-        c = np.bincount(t, minlength=len(total))
-        c[: len(total)] += total
-        total, n = c, n + len(own)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[total[at], n])], names=["term", "n"])
+def _df(term: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(term), np.int64), 0
+        for b in _small(batches):
+            _, t, _, own, _ = passages(b, term, PASSAGE)
+            total += np.bincount(t, minlength=len(total))
+            n += len(own)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[total[at], n])], names=["term", "n"])
+    return lean(run)
 
 
 def _weights(passage: np.ndarray, t: np.ndarray, count: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
@@ -156,47 +171,51 @@ def _weights(passage: np.ndarray, t: np.ndarray, count: np.ndarray, idf: np.ndar
     return w / np.maximum(norm, 1e-12)[passage]
 
 
+#: Bytes of gathered rows that one product takes: they stay in a core's cache.
+CACHE_BYTES = 1 << 20
+
+
 def _rows_times(passage: np.ndarray, t: np.ndarray, w: np.ndarray, by_term: np.ndarray, n: int) -> np.ndarray:
-    """The sparse rows (in order of passage) times by_term: one step for each place in a row, all rows at once."""
+    """The sparse rows (in order of passage) times by_term: rows of one size are one stack of products."""
     out = np.zeros((n, by_term.shape[1]), np.float32)
     size = np.bincount(passage, minlength=n)
     start = np.cumsum(size) - size
-    w = w.astype(np.float32)[:, None]
-    for lo in range(0, n, 4096):
-        rows = lo + np.argsort(-size[lo : lo + 4096], kind="stable")
-        for j in range(int(size[rows[0]]) if len(rows) else 0):
-            rows = rows[: int(np.searchsorted(-size[rows], -j, "left"))]
-            at = start[rows] + j
-            out[rows] += by_term[t[at]] * w[at]
+    w = w.astype(np.float32)
+    by = np.argsort(size, kind="stable")
+    cut = np.flatnonzero(np.r_[True, np.diff(size[by]) != 0, True]) if n else []
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        k = int(size[by[a]])
+        step = max(1, CACHE_BYTES // max(1, 4 * k * by_term.shape[1]))
+        for lo in range(a, b if k else a, step):
+            rows = by[lo : min(lo + step, b)]
+            at = start[rows][:, None] + np.arange(k)
+            out[rows] = np.matmul(w[at][:, None, :], by_term[t[at]])[:, 0]
     return out
 
 
-def _gram(idf: np.ndarray, omega: np.ndarray):
+def _gram(term: np.ndarray, idf: np.ndarray, omega: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(omega.shape, np.float64)
         for b in _small(batches):
-            passage, t, count, own, _ = passages(b, PASSAGE)
+            passage, t, count, own, _ = passages(b, term, PASSAGE)
             w = _weights(passage, t, count, idf, len(own))
             y = _rows_times(passage, t, w, omega, len(own))
             by = np.argsort(t, kind="stable")
-            for lo in range(0, len(by), 1 << 14):
-                e = by[lo : lo + (1 << 14)]
-                start = np.flatnonzero(np.r_[True, t[e][1:] != t[e][:-1]])
-                # Sums of each term's run, as differences of running sums.
-                run = np.cumsum(y[passage[e]] * w[e, None], axis=0, dtype=np.float64)[np.r_[start[1:], len(e)] - 1]
-                total[t[e][start]] += np.diff(run, axis=0, prepend=0.0)
+            here, t = np.unique(t[by], return_inverse=True)
+            total[here] += _rows_times(t, passage[by], w[by], y, len(here))
         at = np.flatnonzero(total.any(axis=1))
-        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * omega.shape[1]), pa.array(total[at].ravel()))
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * omega.shape[1]), pa.array(total[at].ravel().astype(np.float32)))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), rows], names=["term", "row"])
-    return run
+    return lean(run)
 
 
-def latent_space(compact: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def latent_space(compact: DataFrame, term: np.ndarray, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """(right singular vectors: terms x rank, singular values) of all passages' TF-IDF rows."""
     d = len(idf)
     r = min(rank + OVERSAMPLE, d)
     omega = np.random.default_rng(seed).standard_normal((d, r)).astype(np.float32)
-    sums = compact.mapInArrow(_gram(idf, omega), "term int, row array<double>").groupBy("term").agg(*[F.sum(F.col("row")[i]).alias(f"c{i}") for i in range(r)]).toArrow()
+    # A row for each term, added up by term before the driver sees it.
+    sums = compact.mapInArrow(_gram(term, idf, omega), "term int, row array<float>").groupBy("term").agg(*[F.sum(F.col("row")[i].cast("double")).alias(f"c{i}") for i in range(r)]).toArrow()
     g = np.zeros((d, r))
     if sums.num_rows:
         g[sums.column("term").to_numpy()] = np.column_stack([sums.column(f"c{i}").to_numpy() for i in range(r)])
@@ -257,139 +276,176 @@ class Stretches:
             lo = hi
 
 
-def _candidates(idf: np.ndarray, v: np.ndarray, items: np.ndarray, owner: np.ndarray, item_terms: np.ndarray, least_terms: int, cosine: float, stretches: Stretches):
-    """Rows (rk, passage number, item) of cosine or more with a part of an item; items, item_terms (sorted part * len(idf) + term): of the parts, owner: their items. And those that share enough terms with a stretch."""
-    n_terms = np.bincount(item_terms // len(idf), minlength=len(items))
+def subsequence(places: dict[int, int], n: int, inside: list[int]) -> int:
+    """Length of the longest common subsequence of `inside` and a sequence of n words given by the bits of each word's places."""
+    ones = row = (1 << n) - 1
+    for y in inside:
+        m = places.get(y)
+        if m is not None:
+            u = row & m
+            if u:
+                row = ((row + u) | (row - u)) & ones
+    return n - row.bit_count()
+
+
+def _bits(seq: list[int]) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for i, x in enumerate(seq):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+class Judge:
+    """How much of an item a window of a text has: the share of its words in order where that is a leak, else 0."""
+
+    def __init__(self, bench: Benchmark, leak: float, paraphrase: float, answer: int):
+        self.items = [(len(s), _bits(s.tolist()), len(s[-answer:]), _bits(s[-answer:].tolist())) for s in bench.seqs]
+        self.leak, self.paraphrase = leak, paraphrase
+
+    def __call__(self, item: int, inside: list[int]) -> float:
+        n, places, tail, tail_places = self.items[item]
+        if len(inside) < self.paraphrase * n:
+            return 0.0
+        share = subsequence(places, n, inside) / n
+        if share >= self.leak or share >= self.paraphrase and subsequence(tail_places, tail, inside) == tail:
+            return share
+        return 0.0
+
+
+def _find(bench: Benchmark, idf: np.ndarray, v: np.ndarray, df: np.ndarray, cosine: float, leak: float, paraphrase: float, answer: int):
+    """Rows (x, y, item, share) of the texts that leak, from rows of _words_of()."""
+    term = bench.term
+    owner, parts = pieces(bench.seqs, PASSAGE)
+    part, part_term, part_count = _piece_terms(bench, parts)
+    basis = v.astype(np.float32)
+    vectors = _rows_times(part, part_term, _weights(part, part_term, part_count, idf, len(parts)), basis, len(parts))
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]
+    codes = np.sort(part * len(idf) + part_term)
+    n_terms = np.bincount(part, minlength=len(parts))
+    least_terms = max(1, int(min([TERMS, *n_terms])))
+    stretches = Stretches(bench, df)
 
     def shared(item: np.ndarray, p: np.ndarray, start: np.ndarray, size: np.ndarray, t: np.ndarray) -> np.ndarray:
         n = size[p]
         first = np.cumsum(n) - n
         at = np.arange(n.sum()) - np.repeat(first - start[p], n)
         code = np.repeat(item.astype(np.int64), n) * len(idf) + t[at]
-        hit = item_terms[np.minimum(np.searchsorted(item_terms, code), len(item_terms) - 1)] == code
+        hit = codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] == code
         return np.bincount(np.repeat(np.arange(len(p)), n), weights=hit, minlength=len(p))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis = v.astype(np.float32)
-        for b in _small(batches):
-            passage, t, count, own, number = passages(b)
-            w = _weights(passage, t, count, idf, len(own))
-            z = _rows_times(passage, t, w, basis, len(own))
-            z /= np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
-            size = np.bincount(passage, minlength=len(own))
-            start = np.cumsum(size) - size
-            for p, i in stretches.met(passage, t, len(own)):
-                yield pa.RecordBatch.from_arrays([b.column("rk").take(pa.array(own[p])), pa.array(number[p].astype(np.int32)), pa.array(i.astype(np.int32))], names=["rk", "number", "item"])
-            rows = np.flatnonzero(size >= least_terms)
-            for lo in range(0, len(rows), 4096):
-                part = rows[lo : lo + 4096]
-                for at in range(0, len(items), 1024):
-                    p, i = np.nonzero(z[part] @ items[at : at + 1024].T >= cosine)
-                    if len(p):
-                        near = shared(at + i, part[p], start, size, t) >= TERM_SHARE * n_terms[at + i]
-                        p, i = p[near], i[near]
-                    if len(p):
-                        yield pa.RecordBatch.from_arrays([b.column("rk").take(pa.array(own[part[p]])), pa.array(number[part[p]].astype(np.int32)), pa.array(owner[at + i].astype(np.int32))], names=["rk", "number", "item"])
-    return run
-
-
-def _confirm(bench: Benchmark, leak: float, paraphrase: float, answer: int):
-    """Rows (rk, text, found: list of passage numbers and items): the confirmed ones, (rk, item, share)."""
-    def judge(own: np.ndarray, item: np.ndarray, number: int) -> float:
-        # As many words before and after as the item has: it need not lie inside the passage.
-        lo = max(0, number * STRIDE - len(item))
-        part = own[lo : number * STRIDE + PASSAGE + len(item)]
-        common = np.isin(item, part).sum()
-        if common < paraphrase * len(item):
-            return 0.0
-        seq, inside = item.tolist(), part.tolist()
-        # The item may stand anywhere in the part, so the band is the part's length.
-        share = common_subsequence(seq, inside, len(inside) + len(seq)) / len(seq)
-        if share >= leak:
-            return share
-        tail = seq[-answer:]
-        found = share >= paraphrase and common_subsequence(tail, inside, len(inside) + len(tail)) == len(tail)
-        return share if found else 0.0
+    def met(passage: np.ndarray, t: np.ndarray, count: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(passage, item) pairs that the check must look at."""
+        yield from stretches.met(passage, t, n)
+        size = np.bincount(passage, minlength=n)
+        start = np.cumsum(size) - size
+        z = _rows_times(passage, t, _weights(passage, t, count, idf, n), basis, n)
+        z /= np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
+        rows = np.flatnonzero(size >= least_terms)
+        for lo in range(0, len(rows), 4096):
+            some = rows[lo : lo + 4096]
+            for at in range(0, len(vectors), 1024):
+                p, i = np.nonzero(z[some] @ vectors[at : at + 1024].T >= cosine)
+                if len(p):
+                    near = shared(at + i, some[p], start, size, t) >= TERM_SHARE * n_terms[at + i]
+                    yield some[p[near]], owner[at + i[near]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, lists = b.column("rk").to_pylist(), b.column("found").to_pylist()
-            out = []
-            for lo, hi, data, off in text_chunks(b.column("text")):
-                h, first = words(data, off)
-                for i in range(lo, hi):
-                    own = h[first[i - lo] : first[i - lo + 1]]
-                    best: dict[int, float] = {}
-                    for f in lists[i]:
-                        if best.get(f["item"], 0.0) < 1.0:
-                            best[f["item"]] = max(best.get(f["item"], 0.0), judge(own, bench.seqs[f["item"]], f["number"]))
-                    out += [(keys[i], k, s) for k, s in best.items() if s > 0]
-            rk, item, share = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(rk, pa.int64()), pa.array(item, pa.int32()), pa.array(share, pa.float64())], names=["rk", "item", "share"])
-    return run
-
-
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    return docs.select(F.col(f"`{key}`").alias("key"), body.alias("text")).withColumn("rk", F.xxhash64("key", "text"))
+        judge = Judge(bench, leak, paraphrase, answer)
+        length = np.array([len(s) for s in bench.seqs])
+        for b in _small(batches):
+            passage, t, count, own, number = passages(b, term)
+            found = [np.stack(x) for x in met(passage, t, count, len(own))]
+            best: dict[tuple[int, int], float] = {}
+            if found:
+                p, item = np.unique(np.concatenate(found, axis=1), axis=1)
+                row, number = own[p], number[p]
+                off = np.asarray(b.column("place").offsets).astype(np.int64)
+                off -= off[0]
+                place = np.asarray(b.column("place").flatten()).astype(np.int64)
+                # Words by row and place: a window's are a slice of them.
+                reach = int(place.max(initial=0)) + int(length.max()) + PASSAGE + 1
+                line = np.repeat(np.arange(b.num_rows), np.diff(off)) * (2 * reach) + place
+                base = row * (2 * reach)
+                lo = np.searchsorted(line, base + np.maximum(0, number * STRIDE - length[item]))
+                hi = np.searchsorted(line, base + number * STRIDE + PASSAGE + length[item])
+                word = np.asarray(b.column("word").flatten()).tolist()
+                for r, i, x, y in zip(row.tolist(), item.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                    had = best.get((r, i), 0.0)
+                    if had < 1.0:
+                        share = judge(i, word[x:y])
+                        if share > had:
+                            best[r, i] = share
+            rows = pa.array([r for r, _ in best], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("x").take(rows), b.column("y").take(rows), pa.array([i for _, i in best], pa.int32()), pa.array(list(best.values()), pa.float64())], names=["x", "y", "item", "share"])
+    return lean(run)
+
+
+def _row_key(key: str, body) -> list:
+    """Two hashes of a row's key and text."""
+    return [F.xxhash64(F.col(f"`{key}`"), body), F.xxhash64(F.lit(1), F.col(f"`{key}`"), body)]
+
+
+def _body(text: str):
+    return F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-          rank: int = RANK, cosine: float = COSINE, leak: float = LEAK, paraphrase: float = PARAPHRASE, answer: int = ANSWER, items: int = ITEMS) -> DataFrame:
-    """(rk, item, share): every leak found, by the row key of _keyed(); item is the item's key."""
-    keyed = _keyed(docs, key, text)
+          rank: int = RANK, cosine: float = COSINE, leak: float = LEAK, paraphrase: float = PARAPHRASE, answer: int = ANSWER, items: int = ITEMS, most_words: int = MOST_WORDS) -> DataFrame:
+    """(x, y, item, items, share): every leak found, by the row key of _row_key(); item is the least key of the items with one text, items how many they are."""
+    x, y = _row_key(key, _body(text))
+    keyed = docs.select(x.alias("x"), y.alias("y"), _body(text).alias("text"))
     kind = benchmark.schema[item_key].dataType.simpleString()
-    n_items = benchmark.count()
-    blocks = max(1, -(-n_items // items))
+    distinct = (benchmark.select(F.col(f"`{item_key}`").alias("k"), F.col(f"`{item_text}`").alias("t")).where("t is not null").groupBy("t").agg(F.min("k").alias("k"), F.count("*").alias("n")))
+    word = F.explode(F.split(F.lower("t"), r"[^\p{L}\p{N}_]+"))
+    n_items = distinct.count()
+    n_words = distinct.select(word.alias("w")).agg(F.approx_count_distinct("w")).first()[0]
+    blocks = max(1, -(-n_items // items), -(-n_words // most_words))
     out = None
     for block in range(blocks):
-        mine = benchmark.where(F.pmod(F.xxhash64(F.col(f"`{item_key}`"), F.col(f"`{item_text}`")), F.lit(blocks)) == block) if blocks > 1 else benchmark
-        # `items` rows on average: the block is bounded by that parameter.
-        rows = mine.select(F.col(f"`{item_key}`").alias("k"), F.col(f"`{item_text}`").alias("t")).orderBy("k", "t").collect()
-        found = _leaks_of(keyed, Benchmark([r["k"] for r in rows], [r["t"] for r in rows]), rank, cosine, leak, paraphrase, answer, kind)
+        mine = distinct.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block) if blocks > 1 else distinct
+        # `items` rows of different texts on average: the block is bounded by that parameter.
+        rows = mine.orderBy("k", "t").collect()
+        found = _leaks_of(keyed, Benchmark([(r["k"], r["n"]) for r in rows], [r["t"] for r in rows], least=answer), rank, cosine, leak, paraphrase, answer, kind)
         out = found if out is None else out.union(found)
     return out
 
 
 def _leaks_of(keyed: DataFrame, bench: Benchmark, rank: int, cosine: float, leak: float, paraphrase: float, answer: int, kind: str) -> DataFrame:
+    """The block's leaks, written."""
     spark = keyed.sparkSession
     if not bench.seqs:
-        return spark.createDataFrame([], f"rk long, item {kind}, share double")
-    compact = materialise(keyed.select("rk", "text").mapInArrow(_terms_of(bench), "rk long, place array<int>, term array<int>").where("size(place) > 0"), "terms")
-    counts = compact.mapInArrow(_df, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each term
-    df, n = np.zeros(len(bench.terms)), 0
+        return spark.createDataFrame([], f"x long, y long, item {kind}, items long, share double")
+    compact = materialise(keyed.mapInArrow(_words_of(bench), "x long, y long, place array<int>, word array<int>"), "words")
+    counts = compact.select("place", "word").mapInArrow(_df(bench.term), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each term
+    df, n = np.zeros(len(bench.words)), 0
     for r in counts:
         if r["term"] < 0:
             n = r["n"]
         else:
             df[r["term"]] = r["n"]
     idf = np.log((n + 1) / (df + 1)) + 1e-3
-    v, _ = latent_space(compact, idf, rank)
-    owner, parts = pieces(bench.seqs, PASSAGE)
-    p, t, c = _piece_terms(bench, parts)
-    vectors = _rows_times(p, t, _weights(p, t, c, idf, len(parts)), v.astype(np.float32), len(parts)) if len(p) else np.zeros((len(parts), v.shape[1]), np.float32)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]
-    least = int(min([TERMS, *np.bincount(p, minlength=len(parts))])) if len(p) else 0
-    met = materialise(compact.mapInArrow(_candidates(idf, v, vectors, owner, np.sort(p * len(idf) + t), max(least, 1), cosine, Stretches(bench, df)), "rk long, number int, item int").distinct(), "candidates")
-    # A text's own candidates: their number follows its length.
-    listed = met.groupBy("rk").agg(F.collect_list(F.struct("number", "item")).alias("found"))
-    confirmed = keyed.select("rk", "text").join(listed, "rk").mapInArrow(_confirm(bench, leak, paraphrase, answer), "rk long, item int, share double")
-    names = spark.createDataFrame([(i, k) for i, k in enumerate(bench.ids)], f"item int, name {kind}")
-    return confirmed.join(F.broadcast(names), "item").selectExpr("rk", "name as item", "share")
+    v, _ = latent_space(compact.select("place", "word"), bench.term, idf, rank)
+    found = compact.mapInArrow(_find(bench, idf, v, df, cosine, leak, paraphrase, answer), "x long, y long, item int, share double")
+    names = spark.createDataFrame([(i, *k) for i, k in enumerate(bench.ids)], f"i int, item {kind}, items long")
+    # The names are a block's items: bounded.
+    out = materialise(found.withColumnRenamed("item", "i").join(F.broadcast(names), "i").select("x", "y", "item", "items", "share"), "leaks")
+    drop_scratch(spark, compact)
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(key, contaminated, item_id, share, n_items): a row for each of docs; the item is that with the largest share, ties to the smaller id."""
     found = leaks(docs, benchmark, key, text, **options).distinct()
-    best = found.groupBy("rk").agg(F.min(F.struct((-F.col("share")).alias("s"), "item")).alias("best"), F.count_distinct("item").alias("n"))
-    rows = _keyed(docs, key, text).select("key", "rk")
-    return rows.join(best, "rk", "left").select(
+    best = found.groupBy("x", "y").agg(F.min(F.struct((-F.col("share")).alias("s"), "item")).alias("best"), F.sum("items").alias("n"))
+    x, y = _row_key(key, _body(text))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), x.alias("x"), y.alias("y"))
+    return rows.join(best, ["x", "y"], "left").select(
         F.col("key").alias(key), F.col("best").isNotNull().alias("contaminated"), F.col("best.item").alias("item_id"),
         (-F.col("best.s")).alias("share"), F.coalesce("n", F.lit(0)).cast("long").alias("n_items"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs in which no leak was found."""
-    found = materialise(leaks(docs, benchmark, key, text, **options).select("rk").distinct(), "leaks")
-    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    return docs.withColumn("__rk", F.xxhash64(F.col(f"`{key}`"), body)).join(found.withColumnRenamed("rk", "__rk"), "__rk", "left_anti").select(*docs.columns)
+    found = materialise(leaks(docs, benchmark, key, text, **options).selectExpr("x as __x", "y as __y").distinct(), "leaking")
+    x, y = _row_key(key, _body(text))
+    return docs.withColumn("__x", x).withColumn("__y", y).join(found, ["__x", "__y"], "left_anti").select(*docs.columns)

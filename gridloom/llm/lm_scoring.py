@@ -1,25 +1,27 @@
-"""Language-model scores of whole texts: a subword lattice against a word unigram base.
+"""Language-model scores of whole texts: a subword lattice, against a word unigram base.
 
-A text is its words (A-Z lower-cased, parted by ASCII white space) and one end. The base model is
-the add-0.1 unigram of the training texts' tokens. The lattice model spells each word, after a space, with
-pieces of an existing unigram vocabulary and a stop; the probability L(w) of a word is the sum over all its
-segmentations, taken by the forward recursion in log space. The vocabulary's own scores are where the
-piece weights start; expectation steps over the distinct training words then fit the weights (never the
-vocabulary). Counts of the training tokens, each less a discount d, get their share of the probability,
-and the lattice spreads what the discounts free over all words, seen or not:
+A text is its words (A-Z lower-cased, parted by ASCII white space) and one end. The lattice model spells each word, after a
+space, with pieces of an existing unigram vocabulary and a stop; the probability L(w) of a word is the sum over all its
+segmentations, taken by the forward recursion in log space. Pieces don't reach over words, so the marginal
+probability of a whole document is the product of its words':
 
-    P(w) = (max(c - d, 0) + d V L(w)) / N,   P(end) = c(end) / N,   d = n1 / (n1 + 2 n2)
+    P(document) = (1 - e) L(w1) ... (1 - e) L(wn) e,   e = ends / tokens of the training texts
 
-with n1 and n2 the words seen once and twice. P sums to at most one over all texts. `score` is the sum of
-log10 P over a text's tokens; `lattice_score` is that of log10 L over its words alone.
+`score` is its log10. The vocabulary's own scores are where the piece weights start; ROUNDS expectation steps over the training
+words, each as often as it occurs, adapt the weights (never the vocabulary; with rounds = 0 the existing scores stay as they are).
 
-Words never share a piece, so each distinct word is scored once. Rows are dealt to groups by a hash,
+The base model is the add-0.1 unigram of the training texts' tokens (`base_score`). `blended_score` is a third model:
+counts less a discount d, whose mass the lattice spreads over all words, P(w) = (max(c - d, 0) + d V L(w)) / N with
+d = n1 / (n1 + 2 n2) of the words seen once and twice, P(end) = c(end) / N. Each model sums to at most one over all texts.
+
+Words never share a piece, so each distinct word of the corpus is scored once. Rows are dealt to groups by a hash of id and text,
 group sizes following the bytes; each group's own distinct words carry their scores back to its texts, so
-no task holds the whole vocabulary of the corpus, which grows with it.
+no task holds the whole vocabulary of the corpus, which grows with it. (Only rows that repeat an id with its text share a group.)
+Lattices are built for blocks of words of bounded bytes; a longer word is a block of its own.
 
 Nulls and texts without a word are an end alone. A null id is read as an empty string: its remainder is
 0, held out. Repeated rows are scored alike. The empty table gives an empty result. Without any training
-text N and V are 0: base_score is then 0 for each token, and the model gives words and ends half each.
+text N and V are 0: base_score is then 0 for each token, and the models give words and ends half each.
 Columns beside id and text are not read.
 """
 
@@ -34,16 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import drop_scratch, materialise
-from .lattice import MODEL, Lattice, Vocabulary
+from ._text import lean
+from .lattice import MODEL, Lattice, Prefixes, Vocabulary
 
 FOLDS = 10
 #: Bytes of text in a group (rows are dealt by hash; a longer text makes a larger group).
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 ROUNDS = 2
 #: Added to each piece's expected count.
 PRIOR = 0.1
-#: Distinct words whose lattice is held at once.
-BLOCK_WORDS = 20_000
+#: Bytes of distinct words whose lattice is held at once.
+BLOCK_BYTES = 160 << 10
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -52,12 +55,21 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()
 
 
-def _lattices(words: list[bytes], vocabulary: Vocabulary, tables: list) -> Iterator[tuple[int, int, Lattice]]:
-    # Words of like length together: the recursion steps through places of the longest.
-    for lo in range(0, len(words), BLOCK_WORDS):
-        part = [b" " + w for w in words[lo : lo + BLOCK_WORDS]]
-        off = np.r_[0, np.cumsum([len(w) for w in part])].astype(np.int64)
-        yield lo, lo + len(part), Lattice(vocabulary, tables, np.frombuffer(b"".join(part), np.uint8), off)
+def _lattices(words: pa.Array, vocabulary: Vocabulary, tables: Prefixes) -> Iterator[tuple[int, int, Lattice]]:
+    off = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] is not None and words.buffers()[2].size else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(words):
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + BLOCK_BYTES, "right")) - 1)
+        own = off[lo : hi + 1] - off[lo]
+        # A space before each word.
+        spaced = own + np.arange(len(own))
+        out = np.full(spaced[-1], 0x20, np.uint8)
+        mine = np.ones(len(out), bool)
+        mine[spaced[:-1]] = False
+        out[mine] = data[off[lo] : off[hi]]
+        yield lo, hi, Lattice(vocabulary, tables, out, spaced)
+        lo = hi
 
 
 def _words_of(table: pa.Table) -> pa.Table:
@@ -73,11 +85,12 @@ def _expect(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, total = vocabulary.tables(), np.zeros(len(vocabulary.ids))
         for b in batches:
-            for lo, hi, lattice in _lattices(b.column("word").to_pylist(), vocabulary, tables):
-                total += lattice.expected(np.ones(hi - lo), len(total))
+            times = b.column("n").to_numpy().astype(float)
+            for lo, hi, lattice in _lattices(b.column("word"), vocabulary, tables):
+                total += lattice.expected(times[lo:hi], len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["piece", "count"])
-    return run
+    return lean(run)
 
 
 def _marginals(vocabulary: Vocabulary, stop: float):
@@ -85,10 +98,10 @@ def _marginals(vocabulary: Vocabulary, stop: float):
         tables = vocabulary.tables()
         for b in batches:
             out = np.zeros(b.num_rows)
-            for lo, hi, lattice in _lattices(b.column("word").to_pylist(), vocabulary, tables):
+            for lo, hi, lattice in _lattices(b.column("word"), vocabulary, tables):
                 out[lo:hi] = (lattice.totals() + np.log(stop)) / np.log(10)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=["word", "n", "lp"])
-    return run
+    return lean(run)
 
 
 def _score(n_train: int, v: int, n_ends: int, discount: float):
@@ -103,6 +116,9 @@ def _score(n_train: int, v: int, n_ends: int, discount: float):
             own[unseen] = np.log10(max(discount * seen, 1e-9) / n_train) + lattice[unseen]
         else:
             own = np.log10(0.5) + lattice
+        end = n_ends / n_train if n_train else 0.5
+        # Where training texts have no word at all, an end is all that the model knows.
+        whole, end_whole = np.log10(max(1 - end, 1e-300)) + lattice, float(np.log10(end)) if end else -np.inf
         end_base = float(np.log10((n_ends + 0.1) / (n_train + 0.1 * (v + 1))))
         end_own = float(np.log10(n_ends / n_train)) if n_train else float(np.log10(0.5))
         known = count > 0
@@ -110,15 +126,15 @@ def _score(n_train: int, v: int, n_ends: int, discount: float):
         rows = []
         for text in texts.column("text"):
             at = np.array([place[w] for w in tokens(text.as_py())], np.int64)
-            rows.append((len(at) + 1, int(known[at].sum()) + (n_ends > 0), float(base[at].sum()) + end_base, float(own[at].sum()) + end_own, float(lattice[at].sum())))
+            rows.append((len(at) + 1, int(known[at].sum()) + (n_ends > 0), float(base[at].sum()) + end_base, float(own[at].sum()) + end_own, float(whole[at].sum()) + end_whole))
         n, k, b, s, w = zip(*rows, strict=True)
         return pa.table({"key": texts.column("key"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(k, pa.int64()),
-                         "base_score": pa.array(b, pa.float64()), "score": pa.array(s, pa.float64()), "lattice_score": pa.array(w, pa.float64())})
+                         "base_score": pa.array(b, pa.float64()), "blended_score": pa.array(s, pa.float64()), "score": pa.array(w, pa.float64())})
     return run
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, rounds: int = ROUNDS, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score): one row for each row of docs."""
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, blended_score): one row for each row of docs."""
     held = F.crc32(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
     keyed = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text")).withColumn("held_out", held)
     size = keyed.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
@@ -140,14 +156,15 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", model:
         count = np.full(len(vocabulary.ids), PRIOR)
         for r in rows:
             count[r["piece"]] += r["count"]
-        # The stop of a word is one more symbol among the pieces.
-        total = count.sum() + distinct + PRIOR
-        stop = (distinct + PRIOR) / total
+        # The stop of a word is one more symbol among the pieces: as many as there are words.
+        times = n_train - n_ends
+        total = count.sum() + times + PRIOR
+        stop = (times + PRIOR) / total
         vocabulary = vocabulary.with_score(np.log(count / total))
     lp = materialise(words.mapInArrow(_marginals(vocabulary, stop), "word binary, n long, lp double"), "marginals")
     carried = own.select("grp", "word").join(lp, "word")
     kind = docs.schema[key].dataType.simpleString()
     scored = keyed.groupBy("grp").cogroup(carried.groupBy("grp")).applyInArrow(
-        _score(n_train, v, n_ends, discount), f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, lattice_score double")
-    drop_scratch(docs.sparkSession, words)
-    return scored.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", "lattice_score")
+        _score(n_train, v, n_ends, discount), f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, blended_score double, score double")
+    drop_scratch(docs.sparkSession, words)  # the other tables are read by the result
+    return scored.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", "blended_score")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import drop_scratch, materialise
-from ._text import group_starts, lean, mix, prefix_sums, span_hash, text_chunks, word_spans
+from ._text import group_starts, lean, mix, prefix_sums, span_hash, text_chunks, word_hashes, word_spans
 from .components import components
 
 WORDS = 5
@@ -59,7 +59,7 @@ _KEY = "x long, y long"
 def shingles(data: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles, and where each text's begin (with the end of the last)."""
     s, e, first = word_spans(data, off)
-    words = span_hash(prefix_sums(data), s, e)
+    words = word_hashes(data, s, e)
     p = prefix_sums(words)
     n = np.diff(first)
     m = np.where(n >= k, n - k + 1, np.minimum(n, 1))

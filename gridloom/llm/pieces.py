@@ -1,6 +1,6 @@
 """Sampled segmentations of whole texts by forward filtering and backward sampling, and their decoding.
 
-Every text is cut before each space; no piece of the vocabulary reaches over such a cut, so a path over
+Every text is cut before each space that follows another byte than a space; no piece of the vocabulary reaches over such a cut, so a path over
 the text's piece lattice is one path for each part. The forward sums of each distinct part are
 filtered once per block; the backward pass then draws each occurrence's pieces. The uniform
 number at a place follows from the seed, the row's key and the place alone: the same key and text give
@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import mix, prefix_sums, span_hash, text_chunks
-from .lattice import MODEL, Lattice, Sampler, Vocabulary
+from ._text import lean, mix, prefix_sums, span_hash, text_chunks
+from .lattice import MODEL, Lattice, Prefixes, Sampler, Vocabulary
 
 #: Seed of the draws.
 SEED = 1
@@ -31,12 +31,13 @@ SEED = 1
 BLOCK_BYTES = 1 << 20
 
 
-def encode_chunk(vocabulary: Vocabulary, tables: list, data: np.ndarray, off: np.ndarray, keys: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def encode_chunk(vocabulary: Vocabulary, tables: Prefixes, data: np.ndarray, off: np.ndarray, keys: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(piece of each draw, text after text; number of pieces of each text)."""
     n = len(off) - 1
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(n, np.int64)
     cut = data == 0x20
+    cut[1:] &= data[:-1] != 0x20
     cut[off[:-1][np.diff(off) > 0]] = True
     begin = np.flatnonzero(cut)
     end = np.r_[begin[1:], len(data)]
@@ -83,7 +84,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     whole = kind in ("bigint", "int", "smallint", "tinyint")
     seeded = F.coalesce(F.col(f"`{key}`").cast("long") if whole else F.xxhash64(F.col(f"`{key}`")), F.lit(0).cast("long"))
     return (docs.select(F.col(f"`{key}`").alias("key"), body.alias("text"), seeded.alias("seed"))
-            .mapInArrow(run, f"key {kind}, n_pieces long, ids array<int>, lossless boolean").withColumnRenamed("key", key))
+            .mapInArrow(lean(run), f"key {kind}, n_pieces long, ids array<int>, lossless boolean").withColumnRenamed("key", key))
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -98,4 +99,4 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", model: str
             texts = [decode_pieces(vocabulary, place[np.array(x.values, np.int64)]).tobytes().decode() if x.is_valid else None for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["key", "text"])
 
-    return encoded.select(F.col(f"`{key}`").alias("key"), F.col(f"`{ids}`").alias("ids")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
+    return encoded.select(F.col(f"`{key}`").alias("key"), F.col(f"`{ids}`").alias("ids")).mapInArrow(lean(run), f"key {kind}, text string").withColumnRenamed("key", key)

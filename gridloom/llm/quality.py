@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ._shared import materialise
-from ._text import mix, prefix_sums, span_hash, text_chunks
+from ._text import lean, mix, text_chunks, word_hashes
 
 BITS = 18
 #: Labelled rows that the models of the target and the calibration are fitted on, half each.
@@ -58,7 +58,7 @@ def ngrams(data: np.ndarray, off: np.ndarray, bits: int = BITS) -> tuple[np.ndar
     end = np.r_[start[1:], len(data)]
     real = kind[start] > 0
     start, end = start[real], end[real]
-    h = span_hash(prefix_sums(_LOWER[data]), start, end)
+    h = word_hashes(_LOWER[data], start, end)
     row = np.searchsorted(off, start, "right") - 1
     pair = row[1:] == row[:-1]
     two = mix(h[:-1][pair] * np.uint64(3) + h[1:][pair])

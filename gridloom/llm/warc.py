@@ -7,7 +7,8 @@ starts from any selection of index rows, sorted by file and offset: ranges that
 in one request, and each record is parsed out of the bytes.
 
 Of records with equal payloads of at least MIN_REVISIT bytes, that of the least page_id is a response and
-the others are revisits, which name it and carry no payload; smaller payloads are always responses.
+the others are revisits, which name it and carry no payload; smaller payloads are always responses. Which digests occur twice is
+found on a table of digests and ids alone; where those are few enough to be broadcast (BROADCAST_DIGESTS), no payload is shuffled.
 
 Nulls: a null html is an empty payload, a null URL leaves out the target, a null page_id its header (and
 never is the least while another id is there). Rows that repeat the least page_id with its payload are
@@ -26,7 +27,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialise, scratch_path
+from ._shared import drop_scratch, materialise, qualified, scratch_path
+from ._text import lean
 
 MIN_REVISIT = 100
 #: A file is closed once it has so many bytes.
@@ -34,15 +36,17 @@ FILE_BYTES = 128 << 20
 #: Ranges of one file that lie at most GAP bytes apart are one request of at most REQUEST bytes.
 GAP, REQUEST = 64 << 10, 8 << 20
 #: Bytes of one file that one reading task takes.
-TASK_BYTES = 16 << 20
+TASK_BYTES = 8 << 20
+#: So many repeated digests (about 50 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_DIGESTS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
 INDEX = "file string, offset long, length long, url string, digest string, record_type string, page_id long"
 
 
-def _store(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+def _store(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri)
 
 
 def record_id(page_id: int | None) -> str:
@@ -77,12 +81,15 @@ def parse(raw: bytes) -> dict:
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write a record for each row and return the index (materialised)."""
+    """Write a record for each row and return the index (materialised). A folder without a scheme lies on Spark's own file system."""
+    spark = pages.sparkSession
+    folder = qualified(spark, folder)
     body = F.coalesce(F.col(f"`{html}`"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    shared = (rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-              .where("n > 1").select("digest", "first"))
-    typed = rows.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", "first", (F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))).alias("revisit"))
+    light = rows.where(F.octet_length("payload") >= MIN_REVISIT).select("page_id", "digest")
+    shared = materialise(light.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "digests")
+    few = shared.count() <= BROADCAST_DIGESTS
+    typed = rows.join(F.broadcast(shared) if few else shared.hint("merge"), "digest", "left").select("page_id", "url", "payload", "digest", "first", (F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _store(folder)
@@ -90,9 +97,9 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         try:
             for b in batches:
                 index: dict[str, list] = {c.split()[0]: [] for c in INDEX.split(", ")}
-                cols = [b.column(c) for c in ("page_id", "url", "payload", "digest", "first", "revisit")]
+                page, link, digests, first, again = (b.column(c).to_pylist() for c in ("page_id", "url", "digest", "first", "revisit"))
+                payloads = b.column("payload")  # one at a time: the batch is not copied
                 for i in range(b.num_rows):
-                    p, u, payload, digest, first, revisit = (c[i].as_py() for c in cols)
                     if out is None or at >= file_bytes:
                         if out is not None:
                             out.close()
@@ -100,9 +107,9 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = fs.open_output_stream(f"{base}/{name}", compression=None)
                     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    member = packer.compress(record(p, u, payload, digest, first, revisit)) + packer.flush()
+                    member = packer.compress(record(page[i], link[i], payloads[i].as_py(), digests[i], first[i], again[i])) + packer.flush()
                     out.write(member)
-                    for c, v in zip(index, (name, at, len(member), u, digest, "revisit" if revisit else "response", p), strict=True):
+                    for c, v in zip(index, (name, at, len(member), link[i], digests[i], "revisit" if again[i] else "response", page[i]), strict=True):
                         index[c].append(v)
                     at += len(member)
                 if out is not None:
@@ -113,7 +120,9 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
             if out is not None:
                 out.close()
 
-    return materialise(typed.mapInArrow(run, INDEX), "warc-index")
+    index = materialise(typed.mapInArrow(lean(run), INDEX), "warc-index")
+    drop_scratch(spark, shared)
+    return index
 
 
 def _requests(offsets: list[int], lengths: list[int], gap: int, most: int) -> Iterator[tuple[int, int]]:
@@ -130,32 +139,51 @@ READ = "page_id long, url string, payload_bytes long, payload_digest string, rec
 
 def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records of any selection of index rows. Each response's payload is held against its digest."""
+    folder = qualified(index.sparkSession, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _store(folder)
         opened: tuple[str, object] | None = None
         for b in batches:
             files, offsets, lengths = (b.column(c).to_pylist() for c in ("file", "offset", "length"))
-            rows = []
             lo = 0
             while lo < len(files):
                 hi = lo
                 while hi < len(files) and files[hi] == files[lo]:
                     hi += 1
                 if opened is None or opened[0] != files[lo]:
+                    if opened is not None:
+                        opened[1].close()
                     opened = files[lo], fs.open_input_file(f"{base}/{files[lo]}")
                 for s, e in _requests(offsets[lo:hi], lengths[lo:hi], GAP, REQUEST):
                     start = offsets[lo + s]
                     data = opened[1].read_at(offsets[lo + e - 1] + lengths[lo + e - 1] - start, start)
-                    for i in range(lo + s, lo + e):
-                        rows.append(_row(data[offsets[i] - start : offsets[i] - start + lengths[i]], payloads))
+                    # What one request fetched goes on before the next is made.
+                    yield from _parsed(data, [(offsets[i] - start, lengths[i]) for i in range(lo + s, lo + e)], payloads)
                 lo = hi
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(7)]
-            types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in READ.split(", ")])
+        if opened is not None:
+            opened[1].close()
 
+    # Tasks by bytes of archives, not by those of the index, which adaptive execution would go by.
+    total = index.agg(F.sum("length")).first()[0] or 0
     block = F.floor(F.col("offset") / TASK_BYTES)
-    placed = index.select("file", "offset", "length").withColumn("block", block).repartition("file", "block").sortWithinPartitions("file", "offset")
-    return placed.select("file", "offset", "length").mapInArrow(run, READ)
+    placed = index.select("file", "offset", "length").withColumn("block", block).repartition(max(1, -(-total // TASK_BYTES)), "file", "block").sortWithinPartitions("file", "offset")
+    return placed.select("file", "offset", "length").mapInArrow(lean(run), READ)
+
+
+#: Payload bytes of one batch of records that are read back.
+PART_BYTES = 8 << 20
+
+
+def _parsed(data: bytes, ranges: list[tuple[int, int]], payloads: bool) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    rows, held = [], 0
+    for k, (at, n) in enumerate(ranges):
+        rows.append(_row(data[at : at + n], payloads))
+        held += len(rows[-1][-1] or b"")
+        if held >= PART_BYTES or k + 1 == len(ranges):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in READ.split(", ")])
+            rows, held = [], 0
 
 
 def _row(member: bytes, payloads: bool) -> tuple:
