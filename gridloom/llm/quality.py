@@ -1,20 +1,30 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
-Two generative models over hashed word and word-pair buckets are counted: of the target (labelled rows of
-good quality and not toxic) and of the raw text (every row). The log ratio of a bucket is
-log((c_target + 10) / (c_raw N_target / N_raw + 10)). Sums of ratios grow with the length of a text and drown a few
-telling words, so a text's importance weight is a calibrated one: a logistic function, fitted on labelled rows that the target
-model has not seen, of the mean ratio, of the ratios that speak strongly against the target, and of
-length. The number to sample, k, is that of the texts which the fit puts on the target's side (log weight 0
-or more); the k rows with the largest log weight + Gumbel noise, seeded by the row key, are kept.
-
-At most LABELLED labelled rows are used to fit (those with the least hash of their id); all counts, sums and
+Generative models over hashed word and word-pair buckets are counted: of the target (labelled rows of good
+quality that are not toxic), of all text (every row), and of each kind of labelled row that is no target (poor, toxic). Raw text is
+the mixture of these, in the shares of the labelled rows (ALL_TEXT for the model of all text), and a text's importance weight is the
+ratio of the two generative models:
+
+    log_weight = log( p_target(text) / p_raw(text) ) / TEMPERATURE
+               = -log( share_target + sum over the other models k of share_k exp(sum over its n-grams of r_k) ) / TEMPERATURE
+
+with r_k(bucket) = log((c_k + pseudo) / (c_target + pseudo)), counts scaled to the smaller of both models' totals. The models of few labelled
+rows differ from the target's by chance in most buckets, which long texts would add up: there r_k is shrunk towards 0 by its
+standard error or by SHRINK, whichever is more, and only what is left counts. The model of all text needs no such
+shrinking, only more pseudo-counts.
+
+The number to sample, k, is that of the texts which the mixture gives to the target with probability 1/2 or more;
+the k rows with the largest log weight + Gumbel noise, seeded by the row key, are kept. A temperature below 1
+sharpens the sample: hardly a row that the models reject comes in by its noise.
+
+At most LABELLED labelled rows are used (those with the least hash of their id, one for each id); all counts, sums and
 the choice of the k rows cover every row.
 
 Nulls and texts without a token have no weight (null) and are not kept. Without labelled rows of both
 kinds nothing can be told apart: every text with a token has log weight 0 and is kept. Rows with equal
 keys share their noise; those that tie at the last kept place all stay. Null ids are a key like any
-other. The empty table gives an empty result. Other columns pass through judge() untouched.
+other. The empty table gives an empty result. Other columns pass through judge() untouched, but for those named
+log_weight, gumbel_key and kept, which the operator's own replace; keep() leaves all columns as they are.
 """
 
 from __future__ import annotations
@@ -27,18 +37,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._shared import materialise
+from ._shared import drop_scratch, materialise
 from ._text import lean, mix, text_chunks, word_hashes
 
 BITS = 18
-#: Labelled rows that the models of the target and the calibration are fitted on, half each.
+#: Labelled rows that the models of the target and of the other kinds are counted from.
 LABELLED = 20_000
 SEED = 7
-#: Buckets whose log ratios lie below these speak strongly against the target.
-STRONG = (-0.5, -1.2)
-#: Added to both counts of a ratio: rare n-grams say little.
-PSEUDO = 10
-FEATURES = 2 + 2 * len(STRONG)
+#: Share of the model of all text in the raw mixture.
+ALL_TEXT = 0.05
+#: Added to both counts of a ratio: against all text, and against a kind of labelled rows.
+PSEUDO_ALL, PSEUDO_KIND = 10.0, 0.5
+#: A kind's log ratio counts by what it has beyond this (and beyond its standard error).
+SHRINK = 1.5
+TEMPERATURE = 0.1
 
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
@@ -66,109 +78,98 @@ def ngrams(data: np.ndarray, off: np.ndarray, bits: int = BITS) -> tuple[np.ndar
     return np.r_[h >> shift, two >> shift].astype(np.int64), np.r_[row, row[1:][pair]]
 
 
-def _count(bits: int):
+def _count(bits: int, kinds: int):
+    """Rows (kind, text): (bucket, n_0 .. n_kinds): all n-grams, and those of each kind."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros((kinds + 1, 1 << bits), np.int64)
         for b in batches:
-            for _, _, data, off in text_chunks(b.column(0)):
-                total += np.bincount(ngrams(data, off, bits)[0], minlength=len(total))
-        at = np.flatnonzero(total)
+            kind = b.column(0).to_numpy()
+            for lo, hi, data, off in text_chunks(b.column(1)):
+                bucket, row = ngrams(data, off, bits)
+                total[0] += np.bincount(bucket, minlength=1 << bits)
+                own = kind[lo:hi][row]
+                for k in range(1, kinds + 1):
+                    if (kind[lo:hi] == k).any():
+                        total[k] += np.bincount(bucket[own == k], minlength=1 << bits)
+        at = np.flatnonzero(total[0])
         for s in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at[s : s + (1 << 16)].astype(np.int32)), pa.array(total[at[s : s + (1 << 16)]])], names=["bucket", "n"])
-    return run
-
-
-def count_buckets(texts: DataFrame, text: str, bits: int = BITS) -> np.ndarray:
-    """Counts of all n-grams by bucket: an array of 2 ** bits, however many texts."""
-    rows = texts.select(F.col(f"`{text}`")).mapInArrow(_count(bits), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << bits)
-    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+            part = at[s : s + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(t[part]) for t in total)], names=["bucket", *(f"n{k}" for k in range(kinds + 1))])
+    return lean(run)
+
+
+def count_buckets(texts: DataFrame, bits: int = BITS, kinds: int = 0) -> np.ndarray:
+    """texts (kind int, text): counts of n-grams by bucket, of all rows and of each kind: (kinds + 1) x 2 ** bits numbers, however many texts."""
+    names = [f"n{k}" for k in range(kinds + 1)]
+    rows = texts.mapInArrow(_count(bits, kinds), "bucket int, " + ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    out = np.zeros((kinds + 1, 1 << bits))
+    for k, n in enumerate(names):
+        out[k][rows.column("bucket").to_numpy()] = rows.column(n).to_numpy()
     return out
 
 
-def features(ratio: np.ndarray, bits: int, column: pa.Array) -> np.ndarray:
-    """A row for each text: mean ratio, logs of the strong ratios' sums, their means, log length; NaN without tokens."""
-    out = []
-    for lo, hi, data, off in text_chunks(column):
-        bucket, row = ngrams(data, off, bits)
-        r = ratio[bucket]
-        n = np.bincount(row, minlength=hi - lo).astype(float)
-        strong = [np.bincount(row, weights=np.minimum(r - s, 0), minlength=hi - lo) for s in STRONG]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            out.append(np.column_stack([np.bincount(row, weights=r, minlength=hi - lo) / n, *(np.log1p(-x) for x in strong), *(x / n for x in strong), np.log(n)]))
-        out[-1][n == 0] = np.nan
-    return np.concatenate(out) if out else np.zeros((0, FEATURES))
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, scale, weights with the constant last), by Newton's method."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    w = np.zeros(z.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (p - y) + ridge * w
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), g)
-        w -= step
-        if np.abs(step).max() < 1e-9:
-            break
-    return mean, scale, w
-
-
-def _squares(x: np.ndarray) -> np.ndarray:
-    return np.column_stack([x, x * x, x[:, [0]] * x[:, 1:], x[:, [1]] * x[:, 2:]])
+def log_ratio(count: np.ndarray, target: np.ndarray, pseudo: float, shrink: float | None) -> np.ndarray:
+    """log(p_count / p_target) of each bucket; shrunk towards 0 unless shrink is None."""
+    least = min(count.sum(), target.sum())
+    r = np.log((count * (least / count.sum()) + pseudo) / (target * (least / target.sum()) + pseudo))
+    if shrink is None:
+        return r
+    error = np.sqrt(1 / (count + pseudo) + 1 / (target + pseudo))
+    return np.sign(r) * np.maximum(np.abs(r) - np.maximum(error, shrink), 0)
 
 
 class Weigher:
-    """Log importance weight of texts; its size is that of the bucket table."""
+    """Log importance weight of texts; its size is that of the bucket tables."""
 
-    def __init__(self, ratio: np.ndarray, bits: int, fitted: tuple | None):
-        self.ratio, self.bits, self.fitted = ratio.astype(np.float32), bits, fitted
+    def __init__(self, ratios: list[np.ndarray], shares: list[float], bits: int, temperature: float = TEMPERATURE):
+        """ratios and shares: of the models beside the target, which has what the shares leave. No ratio: all weights are 0."""
+        self.ratios, self.shares, self.bits, self.temperature = [r.astype(np.float32) for r in ratios], shares, bits, temperature
 
     def __call__(self, column: pa.Array) -> np.ndarray:
-        x = features(self.ratio, self.bits, column)
-        none = np.isnan(x[:, 0])
-        if self.fitted is None:
-            return np.where(none, np.nan, 0.0)
-        mean, scale, w = self.fitted
-        z = (_squares(np.where(none[:, None], 0.0, x)) - mean) / scale
-        return np.where(none, np.nan, np.clip(z @ w[:-1] + w[-1], -30, 30))
-
-
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS, labelled: int = LABELLED) -> Weigher:
+        out = []
+        for lo, hi, data, off in text_chunks(column):
+            bucket, row = ngrams(data, off, self.bits)
+            mixture = np.full(hi - lo, np.log(1 - sum(self.shares)))
+            for r, share in zip(self.ratios, self.shares, strict=True):
+                mixture = np.logaddexp(mixture, np.log(share) + np.bincount(row, weights=r[bucket], minlength=hi - lo))
+            w = -mixture / self.temperature if self.ratios else np.zeros(hi - lo)
+            out.append(np.where(np.bincount(row, minlength=hi - lo) > 0, w, np.nan))
+        return np.concatenate(out) if out else np.zeros(0)
+
+    @property
+    def even(self) -> float:
+        """The log weight of a text that is the target's with probability 1/2."""
+        return -np.log(2 * (1 - sum(self.shares))) / self.temperature if self.ratios else 0.0
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS, labelled: int = LABELLED, temperature: float = TEMPERATURE) -> Weigher:
     """labels: (key, quality 0/1, toxic 0/1); the target is quality 1 without toxic 1."""
-    by = F.xxhash64(F.lit(SEED), F.col(f"`{key}`"))
-    good = (F.coalesce(F.col("quality"), F.lit(0)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    picked = (labels.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("__key"), good.alias("__good"), by.alias("__by"))
-              .groupBy("__key").agg(F.min("__good").alias("__good"), F.first("__by").alias("__by")).orderBy("__by").limit(labelled))
-    # `labelled` rows of a few bytes: bounded, so broadcast.
-    sample = materialise(docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "__key"), "labelled")
-    half = F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("__key")), F.lit(2))
-    raw = count_buckets(docs, text, bits)
-    target = count_buckets(sample.where("__good").where(half == 0), "text", bits)
-    ratio = np.log((target + PSEUDO) / (raw * (target.sum() / max(raw.sum(), 1)) + PSEUDO))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = features(ratio, bits, b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("__good"), *(pa.array(x[:, i]) for i in range(FEATURES))], names=["good", *(f"x{i}" for i in range(FEATURES))])
-
-    rows = sample.where(half == 1).select("__good", "text").mapInArrow(run, "good boolean, " + ", ".join(f"x{i} double" for i in range(FEATURES))).toPandas().dropna()
-    y = rows["good"].to_numpy(float)
-    if not target.sum() or y.min(initial=1) == y.max(initial=0):
-        return Weigher(ratio, bits, None)
-    return Weigher(ratio, bits, fit_logistic(_squares(rows.drop(columns="good").to_numpy()), y))
-
-
-def with_weights(docs: DataFrame, weigher: Weigher, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with log_weight and gumbel_key."""
+    toxic, poor = F.coalesce(F.col("toxic"), F.lit(0)) == 1, F.coalesce(F.col("quality"), F.lit(0)) != 1
+    # Kinds: 1 the target, 2 poor, 3 toxic. Of several labels of one id the worst holds.
+    kind = F.when(toxic, 3).when(poor, 2).otherwise(1)
+    picked = (labels.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("__key")).agg(F.max(kind).alias("__kind"))
+              .orderBy(F.xxhash64(F.lit(SEED), "__key"), "__key").limit(labelled))
+    # `labelled` rows of a few bytes: bounded, so broadcast. Every row of docs is counted, labelled or not.
+    texts = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "__key", "left").select(F.coalesce("__kind", F.lit(0)).alias("kind"), "text")
+    every, *kinds = count_buckets(texts, bits, 3)
+    held = {r["__kind"]: r["n"] for r in picked.groupBy("__kind").agg(F.count("*").alias("n")).collect()}
+    target, others = kinds[0], [(c, held.get(k, 0)) for k, c in ((2, kinds[1]), (3, kinds[2])) if c.sum()]
+    if not target.sum() or not others:
+        return Weigher([], [], bits, temperature)
+    total = sum(held.values())
+    ratios = [log_ratio(every, target, PSEUDO_ALL, None), *(log_ratio(c, target, PSEUDO_KIND, SHRINK) for c, _ in others)]
+    return Weigher(ratios, [ALL_TEXT, *((1 - ALL_TEXT) * n / total for _, n in others)], bits, temperature)
+
+
+def with_weights(docs: DataFrame, weigher: Weigher, key: str = "doc_id", text: str = "text", weight: str = "log_weight", gumbel: str = "gumbel_key") -> DataFrame:
+    """docs with the log weight and the Gumbel key."""
     @arrow_udf("double")
     def weigh(column: pa.Array) -> pa.Array:
         w = weigher(column)
         return pa.array(w, from_pandas=True)
 
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(f"`{key}`")), 11).cast("double") + 0.5) * 2.0**-53
-    return docs.withColumn("log_weight", weigh(F.col(f"`{text}`"))).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
+    return docs.withColumn(weight, weigh(F.col(f"`{text}`"))).withColumn(gumbel, F.col(weight) - F.log(-F.log(u)))
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
@@ -194,16 +195,39 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
     return hi
 
 
-def sample_size(weighted: DataFrame) -> tuple[int, float | None]:
+def sample_size(weighted: DataFrame, even: float) -> tuple[int, float | None]:
     """(k, the least key that is kept) of rows with log_weight and gumbel_key."""
-    k = weighted.where("log_weight >= 0").count()
+    k = weighted.where(F.col("log_weight") >= even).count()
     return k, kth_largest(weighted.where("gumbel_key is not null"), "gumbel_key", k)
 
 
+def _kept(gumbel: str, least: float | None):
+    return F.coalesce(F.col(gumbel) >= F.lit(least), F.lit(False)) if least is not None else F.lit(False)
+
+
+def weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(key, log_weight, gumbel_key, kept) of each row of docs: every text is weighed once, and the weights are written."""
+    weigher = fit(docs, labels, key, text, **options)
+    light = materialise(with_weights(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), weigher, "key").select("key", "log_weight", "gumbel_key"), "weights")
+    return light.withColumn("kept", _kept("gumbel_key", sample_size(light, weigher.even)[1])).withColumnRenamed("key", key)
+
+
+def _weighed(docs: DataFrame, labels: DataFrame, key: str, text: str, weight: str, gumbel: str, **options) -> tuple[DataFrame, float | None]:
+    weigher = fit(docs, labels, key, text, **options)
+    light = materialise(with_weights(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), weigher, "key").select("log_weight", "gumbel_key"), "weights")
+    least = sample_size(light, weigher.even)[1]
+    drop_scratch(docs.sparkSession, light)
+    # Weighing whole rows again is cheaper than a shuffle of their texts.
+    return with_weights(docs, weigher, key, text, weight, gumbel), least
+
+
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with log_weight, gumbel_key and kept."""
-    weighted = with_weights(docs, fit(docs, labels, key, text, **options), key, text)
-    light = materialise(weighted.select("log_weight", "gumbel_key"), "weights")
-    _, least = sample_size(light)
-    kept = F.coalesce(F.col("gumbel_key") >= F.lit(least), F.lit(False)) if least is not None else F.lit(False)
-    return weighted.withColumn("kept", kept)
+    rows, least = _weighed(docs, labels, key, text, "log_weight", "gumbel_key", **options)
+    return rows.withColumn("kept", _kept("gumbel_key", least))
+
+
+def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs that are kept, with their own columns."""
+    rows, least = _weighed(docs, labels, key, text, "__log_weight", "__gumbel_key", **options)
+    return rows.where(_kept("__gumbel_key", least)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,8 +20,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "log_weight", "gumbel_key", "kept")
+    return quality.weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
