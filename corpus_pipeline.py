@@ -16,7 +16,7 @@ from gridloom.llm._shared import drop_scratch, materialise, table
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    return quality.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
