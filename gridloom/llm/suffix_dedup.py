@@ -11,8 +11,8 @@ all their bytes. Where an anchor's runs are all equal, all their windows repeat.
 (at the edges of what is shared), one copy of each different run goes to the suffix array of its
 anchor's block, and adjacent common prefixes of `length` bytes show the windows that repeat. Copies
 are thus counted, not compared: a text that occurs a million times sends one run of each kind.
-An anchor with more than MOST_VARIANTS different runs has no suffix array of its own: its windows
-are counted one by one, which spreads them over the cluster and gives the same answer.
+An anchor with more than MOST_VARIANTS different runs is split by its windows: they are counted one by one, by
+two hashes, which spreads them over the cluster and gives the same answer as the suffix array that no task could hold.
 
 Nulls and empty texts have no bytes and lose none; kept_sha256 is then that of nothing. Texts that
 are shorter than `length` are left whole. Repeated rows are copies of each other, and lose all their
@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import materialise
-from ._text import group_starts, mix, prefix_sums, span_hash, text_chunks
+from ._shared import drop_scratch, materialise
+from ._text import group_starts, lean, mix, prefix_sums, span_hash, text_chunks
 
 LENGTH = 200
 #: Bytes of an anchor. Shorter ones make fewer and longer runs, but more chance matches.
@@ -198,8 +198,10 @@ def runs_of(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = AN
 
 # ---- the operator -----------------------------------------------------------------------------
 
-_RUNS = "anchor long, whole long, copies int, rk long, at int, bytes int"
-_SPANS = "rk long, at int, upto int"
+_RUNS = "anchor long, whole long, copies int, x long, y long, at int, bytes int"
+_SPANS = "x long, y long, at int, upto int"
+#: Bytes of segments that one task sorts.
+TASK_BYTES = 2 << 20
 
 
 def _merge(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,10 +220,9 @@ def _merge(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 def _find_runs(length: int, k: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column(0).to_numpy()
-            for lo, hi, data, off in text_chunks(b.column(1)):
+            keys = [b.column(c).to_numpy() for c in ("x", "y")]
+            for lo, hi, data, off in text_chunks(b.column("text")):
                 rows, at, n, anchor, whole = runs_of(data, off, length, k)
-                rk = keys[lo:hi][rows]
                 # Runs that this chunk has twice are known to repeat: one row for all, and their spans.
                 by = np.lexsort((whole, anchor))
                 a, w = anchor[by], whole[by]
@@ -231,35 +232,36 @@ def _find_runs(length: int, k: int):
                 again = by[np.repeat(copies > 1, copies)]
                 srow, sat, send = _merge(rows[again], at[again], at[again] + n[again])
                 m = len(srow)
+                own = np.r_[rows[pick], srow]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.r_[anchor[pick].view(np.int64), np.zeros(m, np.int64)]),
                     pa.array(np.r_[whole[pick].view(np.int64), np.zeros(m, np.int64)]),
                     pa.array(np.r_[copies, np.zeros(m, np.int64)].astype(np.int32)),
-                    pa.array(np.r_[rk[pick], keys[lo:hi][srow]]),
+                    *(pa.array(c[lo:hi][own]) for c in keys),
                     pa.array(np.r_[at[pick], sat].astype(np.int32)),
-                    pa.array(np.r_[n[pick], send - sat].astype(np.int32))], names=["anchor", "whole", "copies", "rk", "at", "bytes"])
-    return find
+                    pa.array(np.r_[n[pick], send - sat].astype(np.int32))], names=["anchor", "whole", "copies", "x", "y", "at", "bytes"])
+    return lean(find)
 
 
 def _sort_blocks(length: int):
-    """Rows (anchor, copies, rk, at, seg), sorted by anchor: the repeated spans of runs that occur once."""
-    def solve(part: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]) -> pa.RecordBatch:
-        copies, rk, at = (np.concatenate([x[i] for x in part]) for i in range(3))
-        segs = [s for x in part for s in x[3]]
+    """Rows (anchor, copies, x, y, at, seg), sorted by anchor: the repeated spans of runs that occur once."""
+    def solve(part: list[tuple]) -> pa.RecordBatch:
+        copies, x, y, at = (np.concatenate([p[i] for p in part]) for i in range(4))
+        segs = [s for p in part for s in p[4]]
         starts = np.r_[0, np.cumsum([len(s) for s in segs])].astype(np.int64)
         found = repeated_windows(np.frombuffer(b"".join(segs), np.uint8), starts[:-1], np.minimum(copies, 2), length)
         hit = np.flatnonzero(found)
         seg = np.searchsorted(starts, hit, "right") - 1
         one = copies[seg] == 1
         rows, s, e = _merge(seg[one], hit[one] - starts[seg[one]], hit[one] - starts[seg[one]] + length)
-        return pa.RecordBatch.from_arrays([pa.array(rk[rows]), pa.array((at[rows] + s).astype(np.int32)), pa.array((at[rows] + e).astype(np.int32))], names=["rk", "at", "upto"])
+        return pa.RecordBatch.from_arrays([pa.array(x[rows]), pa.array(y[rows]), pa.array((at[rows] + s).astype(np.int32)), pa.array((at[rows] + e).astype(np.int32))], names=["x", "y", "at", "upto"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, tail = [], 0, None
         for b in batches:
             anchor = b.column("anchor").to_numpy()
             cut = np.r_[group_starts(anchor), len(anchor)]
-            cols = [b.column(c).to_numpy() for c in ("copies", "rk", "at")]
+            cols = [b.column(c).to_numpy() for c in ("copies", "x", "y", "at")]
             segs = b.column("seg").to_pylist()
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 if size >= BLOCK_BYTES and anchor[s] != tail:
@@ -270,86 +272,108 @@ def _sort_blocks(length: int):
                 tail = anchor[s]
         if held:
             yield solve(held)
-    return run
+    return lean(run)
 
 
 def _windows(length: int):
-    """Rows (anchor, copies, rk, at, seg): one row for each window (anchor, window's hash, copies, rk, at)."""
+    """Rows (anchor, copies, x, y, at, seg): one row for each window (anchor, two hashes of the window, copies, x, y, at)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            anchor, copies, rk, at0 = (b.column(c).to_numpy() for c in ("anchor", "copies", "rk", "at"))
+            cols = [b.column(c).to_numpy() for c in ("anchor", "copies", "x", "y", "at")]
             for lo, hi, data, off in text_chunks(b.column("seg"), CHUNK_WINDOWS):
                 p = prefix_sums(data)
                 n = np.maximum(np.diff(off) - length + 1, 0)
                 row = np.repeat(np.arange(hi - lo), n)
                 at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                h = span_hash(p, off[row] + at, off[row] + at + length)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[lo:hi][row]), pa.array(h.view(np.int64)), pa.array(copies[lo:hi][row]), pa.array(rk[lo:hi][row]), pa.array((at0[lo:hi][row] + at).astype(np.int32))], names=["anchor", "window", "copies", "rk", "at"])
-    return run
+                begin = off[row] + at
+                h = span_hash(p, begin, begin + length)
+                half = span_hash(p, begin, begin + length // 2)
+                anchor, copies, x, y, at0 = (c[lo:hi][row] for c in cols)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (anchor, h.view(np.int64), half.view(np.int64), copies, x, y, (at0 + at).astype(np.int32))], names=["anchor", "window", "half", "copies", "x", "y", "at"])
+    return lean(run)
 
 
 CHUNK_WINDOWS = 1 << 18
 
 
+#: Bytes of segments in one batch.
+CUT_BYTES = 4 << 20
+
+
+@lean
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, runs: those of one text): a row (anchor, copies, rk, at, seg) for each run."""
+    """Rows (x, y, text, runs: those of one text): a row (anchor, copies, x, y, at, seg, variants) for each run."""
     for b in batches:
-        for start in range(0, b.num_rows, 256):
-            part = b.slice(start, 256)
-            out = {c: [] for c in ("anchor", "copies", "rk", "at", "seg", "variants")}
-            for text, rk, runs in zip(part.column("text"), part.column("rk").to_pylist(), part.column("runs").to_pylist(), strict=True):
-                data = text.as_buffer()
-                view = memoryview(data)
-                for r in runs:
-                    out["anchor"].append(r["anchor"])
-                    out["copies"].append(min(r["copies"], 2))
-                    out["rk"].append(rk)
-                    out["at"].append(r["at"])
-                    out["seg"].append(bytes(view[r["at"] : r["at"] + r["bytes"]]))
-                    out["variants"].append(r["variants"])
-            yield pa.RecordBatch.from_arrays([pa.array(out["anchor"], pa.int64()), pa.array(out["copies"], pa.int32()), pa.array(out["rk"], pa.int64()), pa.array(out["at"], pa.int32()), pa.array(out["seg"], pa.binary()), pa.array(out["variants"], pa.int64())], names=list(out))
-
-
-def _with_key(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text in bytes, rk): rk tells rows apart but for true copies, whose spans are the same."""
-    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    return docs.select(F.col(f"`{key}`").alias("key"), body.alias("text")).withColumn("rk", F.xxhash64("key", "text"))
+        for lo, hi, data, off in text_chunks(b.column("text")):
+            runs = b.column("runs").slice(lo, hi - lo)
+            n = np.asarray(runs.value_lengths())
+            anchor, copies, at, size, variants = (np.asarray(c) for c in runs.flatten().flatten())
+            row = np.repeat(np.arange(hi - lo), n)
+            start, total = off[row] + at, np.cumsum(size, dtype=np.int64)
+            a = 0
+            while a < len(row):
+                z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + CUT_BYTES, "right")))
+                width = size[a:z].astype(np.int64)
+                end = np.cumsum(width)
+                place = np.arange(end[-1]) - np.repeat(end - width - start[a:z], width)
+                seg = pa.BinaryArray.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(np.r_[0, end].astype(np.int32)), pa.py_buffer(data[place])])
+                own = row[a:z]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[a:z]), pa.array(np.minimum(copies[a:z], 2)), *(b.column(c).slice(lo, hi - lo).take(pa.array(own)) for c in ("x", "y")), pa.array(at[a:z]), seg, pa.array(variants[a:z])],
+                                                 names=["anchor", "copies", "x", "y", "at", "seg", "variants"])
+                a = z
+
+
+def _row_key(key: str, body) -> list:
+    """x and y: 128 bits that tell rows apart but for true copies, whose spans are the same."""
+    return [F.xxhash64(F.col(f"`{key}`"), body).alias("x"), F.xxhash64(F.lit(1), F.col(f"`{key}`"), body).alias("y")]
+
+
+def _body(text: str):
+    return F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR,
                    most_variants: int = MOST_VARIANTS) -> DataFrame:
-    """(rk, at, upto): spans of bytes to remove, perhaps touching or overlapping, by the row key of _with_key()."""
-    keyed = _with_key(docs, key, text)
-    long_ones = keyed.where(F.octet_length("text") >= length)
-    found = materialise(long_ones.select("rk", "text").mapInArrow(_find_runs(length, k), _RUNS), "runs")
+    """(x, y, spans): the different spans of bytes to remove (at, upto), perhaps touching or overlapping, by the row key of _row_key(); written."""
+    spark = docs.sparkSession
+    long_ones = docs.select(*_row_key(key, _body(text)), _body(text).alias("text")).where(F.octet_length("text") >= length)
+    found = materialise(long_ones.mapInArrow(_find_runs(length, k), _RUNS), "runs")
     runs, known = found.where("copies > 0"), found.where("copies = 0")
     met = (runs.groupBy("anchor").agg(F.sum("copies").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
            .where("n > 1").selectExpr("anchor", "lo <> hi as mixed"))
     shared = materialise(runs.join(met, "anchor"), "shared")
     mixed = shared.where("mixed")
-    kinds = (mixed.groupBy("anchor", "whole").agg(F.sum("copies").cast("int").alias("copies"), F.min(F.struct("rk", "at", "bytes")).alias("first")))
+    kinds = (mixed.groupBy("anchor", "whole").agg(F.sum("copies").cast("int").alias("copies"), F.min(F.struct("x", "y", "at", "bytes")).alias("first")))
     again = kinds.where("copies > 1").select("anchor", "whole")
-    spans = [known.selectExpr("rk", "at", "at + bytes as upto"),
-             shared.where("not mixed or copies > 1").selectExpr("rk", "at", "at + bytes as upto"),
-             mixed.where("copies = 1").join(again, ["anchor", "whole"], "left_semi").selectExpr("rk", "at", "at + bytes as upto")]
+    span = ("x", "y", "at", "at + bytes as upto")
+    spans = [known.selectExpr(*span), shared.where("not mixed or copies > 1").selectExpr(*span),
+             mixed.where("copies = 1").join(again, ["anchor", "whole"], "left_semi").selectExpr(*span)]
     sizes = kinds.groupBy("anchor").agg(F.count("*").alias("variants"))
-    kinds = kinds.join(sizes, "anchor").selectExpr("anchor", "copies", "first.rk as rk", "first.at as at", "first.bytes as bytes", "variants")
+    kinds = kinds.join(sizes, "anchor").selectExpr("anchor", "copies", "first.x as x", "first.y as y", "first.at as at", "first.bytes as bytes", "variants")
     # A text's own runs, gathered by text: their number follows its length.
-    wanted = kinds.groupBy("rk").agg(F.collect_list(F.struct("anchor", "copies", "at", "bytes", "variants")).alias("runs"))
-    one = long_ones.join(wanted, "rk")
-    segs = one.select("rk", "text", "runs").mapInArrow(_cut_segments, "anchor long, copies int, rk long, at int, seg binary, variants long")
-    segs = materialise(segs, "segments")
-    few = segs.where(F.col("variants") <= most_variants).drop("variants").repartition("anchor").sortWithinPartitions("anchor")
+    wanted = kinds.groupBy("x", "y").agg(F.collect_list(F.struct("anchor", "copies", "at", "bytes", "variants")).alias("runs"))
+    # Repeated rows have the same key: one of them stands for all.
+    one = long_ones.join(wanted, ["x", "y"]).dropDuplicates(["x", "y"])
+    segs = materialise(one.select("x", "y", "text", "runs").mapInArrow(_cut_segments, "anchor long, copies int, x long, y long, at int, seg binary, variants long"), "segments")
+    few = segs.where(F.col("variants") <= most_variants).drop("variants")
+    # The work follows the segments' bytes, and is more than adaptive execution takes it for.
+    parts = max(1, -(-(few.agg(F.sum(F.octet_length("seg"))).first()[0] or 0) // TASK_BYTES))
+    few = few.repartition(max(parts, spark.sparkContext.defaultParallelism), "anchor").sortWithinPartitions("anchor")
     spans.append(few.mapInArrow(_sort_blocks(length), _SPANS))
-    windows = segs.where(F.col("variants") > most_variants).drop("variants").mapInArrow(_windows(length), "anchor long, window long, copies int, rk long, at int")
-    twice = windows.groupBy("anchor", "window").agg(F.sum("copies").alias("n")).where("n > 1")
-    spans.append(windows.where("copies = 1").join(twice, ["anchor", "window"], "left_semi").selectExpr("rk", "at", f"at + {length} as upto"))
+    windows = segs.where(F.col("variants") > most_variants).drop("variants").mapInArrow(_windows(length), "anchor long, window long, half long, copies int, x long, y long, at int")
+    same = ["anchor", "window", "half"]
+    twice = windows.groupBy(*same).agg(F.sum("copies").alias("n")).where("n > 1")
+    spans.append(windows.where("copies = 1").join(twice, same, "left_semi").selectExpr("x", "y", "at", f"at + {length} as upto"))
     out = spans[0]
     for s in spans[1:]:
         out = out.unionByName(s)
+    # Copies of a row share its key, so a span can come once for each of them: distinct bounds the list by the text.
+    out = materialise(out.distinct().groupBy("x", "y").agg(F.collect_list(F.struct("at", "upto")).alias("spans")), "spans")
+    drop_scratch(spark, found, shared, segs)
     return out
 
 
+@lean
 def _drop_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, text, spans as a list of structs or null): what is left of each text."""
     for b in batches:
@@ -373,15 +397,15 @@ def _drop_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns) if part.schema.names[i] not in ("text", "spans")), *(pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.binary())], names=[*(c for c in part.schema.names if c not in ("text", "spans")), *out])
 
 
+_KEPT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR, most_variants: int = MOST_VARIANTS) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, kept: the bytes that stay), a row for each of docs."""
     spans = repeated_spans(docs, key, text, length, k, most_variants)
-    # Copies of a row share its key, so a span can come once for each of them: distinct bounds the list by the text.
-    listed = spans.distinct().groupBy("rk").agg(F.collect_list(F.struct("at", "upto")).alias("spans"))
-    keyed = _with_key(docs, key, text)
+    rows = docs.select(F.col(f"`{key}`").alias("key"), _body(text).alias("text"), *_row_key(key, _body(text)))
     kind = docs.schema[key].dataType.simpleString()
-    return keyed.join(listed, "rk", "left").select(F.col("key"), "text", "spans").mapInArrow(
-        _drop_bytes, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("key", key)
+    return rows.join(spans, ["x", "y"], "left").select("key", "text", "spans").mapInArrow(_drop_bytes, f"key {kind}, {_KEPT}").withColumnRenamed("key", key)
 
 
 def strip_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str | None = None, **options) -> DataFrame:
@@ -390,13 +414,10 @@ def strip_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", char
     A null text stays null.
     """
     spans = repeated_spans(docs, key, text, **options)
-    listed = spans.distinct().groupBy("rk").agg(F.collect_list(F.struct("at", "upto")).alias("spans"))
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.col(f"`{text}`").isNull().alias("__null"))
-    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    rows = docs.select(rest.alias("key"), body.alias("text"), F.xxhash64(F.col(f"`{key}`"), body).alias("rk"))
+    rows = docs.select(rest.alias("key"), _body(text).alias("text"), *_row_key(key, _body(text)))
     kind = rows.schema["key"].dataType.simpleString()
-    kept = rows.join(listed, "rk", "left").select("key", "text", "spans").mapInArrow(
-        _drop_bytes, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    kept = rows.join(spans, ["x", "y"], "left").select("key", "text", "spans").mapInArrow(_drop_bytes, f"key {kind}, {_KEPT}")
     whole = F.when(~F.col("key.__null"), _whole_characters(F.col("kept")))
     out = kept.select("key", whole.alias("__text"))
     columns = [F.col("__text").alias(c) if c == text else F.length("__text").cast(docs.schema[c].dataType).alias(c) if c == chars else F.col(f"key.`{c}`") for c in docs.columns]
