@@ -55,21 +55,56 @@ def trip_lists(trip: DataFrame) -> DataFrame:
     return trip.groupBy("row_id").agg(*[F.sort_array(F.collect_set(F.when(F.col("element_type") == k, F.col("element_id")))).alias(k) for k in KINDS])
 
 
+def _off(off: DataFrame, kind: str) -> DataFrame:
+    """(row_id, <kind>_id) of the trips of one kind, each once."""
+    return off.where(F.col("element_type") == kind).select("row_id", F.col("element_id").alias(f"{kind}_id")).distinct()
+
+
 def bus_injections(grid: Grid, rows: DataFrame, load_p: DataFrame | None = None, gen_p: DataFrame | None = None, off: DataFrame | None = None) -> DataFrame:
-    """sbus(row_id, bus_id, p_mw, q_mvar): generators add, loads subtract, what is off is left out.
+    """sbus(row_id, bus_id, p_mw, q_mvar): generators and static generators add, loads and storages subtract, what is off is left out.
 
     load_p: (row_id, load_id, p_mw, q_mvar); gen_p: (row_id, gen_id, p_mw); rows without own values take the grid's.
-    off: trip rows of loads and generators.
+    off: trip rows of loads, generators, static generators and storages. Buses where nothing is on have no row.
+
+    What the grid itself gives is summed by bus once, and each row takes its own trips off that sum: rows meet buses, never all elements.
     """
     base = rows.select("row_id").distinct()
-    load = load_p if load_p is not None else base.crossJoin(F.broadcast(grid.load.select("load_id", "p_mw", "q_mvar")))
-    gen = gen_p if gen_p is not None else base.crossJoin(F.broadcast(grid.gen.select("gen_id", "p_mw")))
-    if off is not None:
-        out = lambda k, c: off.where(F.col("element_type") == k).select("row_id", F.col("element_id").alias(c))
-        load, gen = load.join(out("load", "load_id"), ["row_id", "load_id"], "left_anti"), gen.join(out("gen", "gen_id"), ["row_id", "gen_id"], "left_anti")
-    l = load.join(F.broadcast(grid.load.select("load_id", "bus_id")), "load_id").selectExpr("row_id", "bus_id", "-p_mw as p_mw", "-q_mvar as q_mvar")  # noqa: E741
-    g = gen.join(F.broadcast(grid.gen.select("gen_id", "bus_id")), "gen_id").selectExpr("row_id", "bus_id", "p_mw", "0.0D as q_mvar")
-    return l.unionByName(g).groupBy("row_id", "bus_id").agg(F.sum("p_mw").alias("p_mw"), F.sum("q_mvar").alias("q_mvar"))
+    parts = []
+    for kind, sign, own in (("load", -1, load_p), ("gen", 1, gen_p), ("sgen", 1, None), ("storage", -1, None)):
+        q = "0.0D" if kind == "gen" else f"{sign} * q_mvar"
+        value = [f"{sign} * p_mw as p_mw", f"{q} as q_mvar"]
+        table = getattr(grid, kind)
+        if own is not None:
+            if off is not None:
+                own = own.join(_off(off, kind), ["row_id", f"{kind}_id"], "left_anti")
+            parts.append(own.join(table.select(f"{kind}_id", "bus_id"), f"{kind}_id").selectExpr("row_id", "bus_id", *value, "1L as n"))
+            continue
+        total = table.selectExpr("bus_id", *value).groupBy("bus_id").agg(F.sum("p_mw").alias("p_mw"), F.sum("q_mvar").alias("q_mvar"), F.count("*").alias("n"))
+        # At most a row for each bus of one grid.
+        parts.append(base.crossJoin(F.broadcast(total)).select("row_id", "bus_id", "p_mw", "q_mvar", "n"))
+        if off is not None:
+            gone = _off(off, kind).join(table.selectExpr(f"{kind}_id", "bus_id", *value), f"{kind}_id")
+            parts.append(gone.selectExpr("row_id", "bus_id", "-p_mw as p_mw", "-q_mvar as q_mvar", "-1L as n"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("row_id", "bus_id").agg(F.sum("p_mw").alias("p_mw"), F.sum("q_mvar").alias("q_mvar"), F.sum("n").alias("n")).where("n > 0").drop("n")
+
+
+#: Kinds that a solve can trip, with the grid's table of them.
+TABLES = {"branch": "branch", "branch_side1": "branch", "branch_side2": "branch", "shunt": "shunt", "load": "load", "gen": "gen", "sgen": "sgen", "storage": "storage", "hvdc": "hvdc"}
+
+
+def unknown_elements(grid: Grid, trip: DataFrame) -> DataFrame:
+    """(row_id, reason): rows that trip an element which the grid doesn't have, or of a kind that it has no table for."""
+    known = [grid.spark.createDataFrame([], "element_type string, element_id int")]
+    for kind, table in TABLES.items():
+        known.append(getattr(grid, table).select(F.lit(kind).alias("element_type"), F.col(f"{table}_id").alias("element_id")))
+    every = known[0]
+    for k in known[1:]:
+        every = every.unionByName(k)
+    missing = trip.join(every, ["element_type", "element_id"], "left_anti")
+    return missing.groupBy("row_id").agg(F.min(F.concat(F.lit("there is no "), "element_type", F.lit(" "), F.col("element_id").cast("string"))).alias("reason"))
 
 
 def pv_flips(grid: Grid, off: DataFrame) -> DataFrame:

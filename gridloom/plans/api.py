@@ -66,6 +66,11 @@ class ContingencyAnalysis(_Study):
     def add_contingencies(self, items: list[tuple]) -> None:
         self.trip = rows.contingencies(self.grid.spark, items, self.trip)
 
+    def add_contingency(self, kind: str, lists: list[list[int]]) -> None:
+        """Rows that trip elements of one kind (any of rows.KINDS)."""
+        at = rows.KINDS.index(kind)
+        self.add_contingencies([tuple(ids if i == at else [] for i in range(len(rows.KINDS))) for ids in lists])
+
     def n_minus_1(self) -> None:
         self.trip = rows.n_minus_1(self.grid)
 
@@ -73,23 +78,41 @@ class ContingencyAnalysis(_Study):
         return rows.trip_lists(self.trip)
 
     def _trips(self) -> DataFrame:
-        return self.trip.where("element_type = 'branch'").select("row_id", F.col("element_id").alias("branch_id"))
+        """Branches without a flow: a branch that is open at one end carries none that is checked."""
+        return self.trip.where("element_type in ('branch', 'branch_side1', 'branch_side2')").select("row_id", F.col("element_id").alias("branch_id"))
 
     def _inputs(self) -> DataFrame:
-        off = self.trip.where("element_type = 'gen'").select("row_id", F.col("element_id").alias("gen_id"))
-        loads = self.trip.where("element_type = 'load'")
-        sbus = rows.bus_injections(self.grid, self.trip, off=loads) if not loads.isEmpty() else None
-        return row_inputs(self.grid, self.trip, sbus, self._trips(), off)
+        return row_inputs(self.grid, self.trip, elements=self.trip)
 
 
 class InjectionSweep(_Study):
     """Rows differ in injections; set-point conflicts are an error."""
 
+    parts = sbus = None
+
     def set_injections(self, sbus: DataFrame) -> None:
-        self.sbus = sbus
+        self.sbus, self.parts = sbus, None
 
     def set_injections_from_elements(self, load_p: DataFrame, gen_p: DataFrame | None = None) -> None:
-        self.sbus = rows.bus_injections(self.grid, load_p, load_p, gen_p)
+        self.parts, self.sbus = (load_p, gen_p), None
+
+    def _injections(self, off: DataFrame | None = None) -> DataFrame:
+        """What each row injects without what is off there: with the row's own values, or, where injections are given by bus, less the grid's."""
+        if self.parts is not None:
+            load_p, gen_p = self.parts
+            return rows.bus_injections(self.grid, load_p, load_p, gen_p, off)
+        if off is None:
+            return self.sbus
+        kinds = off.where("element_type in ('gen', 'sgen', 'storage')")
+        gone = None
+        for kind, sign in (("gen", 1), ("sgen", 1), ("storage", -1)):
+            q = "0.0D" if kind == "gen" else f"{-sign} * q_mvar"
+            own = rows._off(kinds, kind).join(getattr(self.grid, kind), f"{kind}_id").selectExpr("row_id", "bus_id", f"{-sign} * p_mw as p_mw", f"{q} as q_mvar")
+            gone = own if gone is None else gone.unionByName(own)
+        return self.sbus.select("row_id", "bus_id", "p_mw", "q_mvar").unionByName(gone).groupBy("row_id", "bus_id").agg(F.sum("p_mw").alias("p_mw"), F.sum("q_mvar").alias("q_mvar"))
+
+    def _rows(self) -> DataFrame:
+        return self.sbus if self.parts is None else self.parts[0]
 
     def set_gen_v(self, gen_v: DataFrame) -> None:
         v = rows.set_points(self.grid, gen_v)
@@ -98,38 +121,44 @@ class InjectionSweep(_Study):
         self.v_set = v.select("row_id", "bus_id", "v_set")
 
     def _inputs(self) -> DataFrame:
-        return row_inputs(self.grid, self.sbus, self.sbus, v_set=getattr(self, "v_set", None))
+        return row_inputs(self.grid, self._rows(), self._injections(), v_set=getattr(self, "v_set", None))
 
 
 class ScenarioSweep(InjectionSweep):
     """Rows differ in injections, topology, trips and set-points, joined by row_id; conflicting rows are not simulated."""
 
-    topology = gen_off = None
+    trip = conflicts = None
+
+    def set_topology(self, lists: list[list[int]] | DataFrame) -> None:
+        """Branches that are out: a list for each row, or (row_id, branch_id)."""
+        self._replace("branch", lists if isinstance(lists, DataFrame) else rows.contingencies_by_branch(self.grid.spark, lists).select("row_id", F.col("element_id").alias("branch_id")))
 
-    def set_topology(self, lists: list[list[int]]) -> None:
-        self.topology = rows.contingencies_by_branch(self.grid.spark, lists).select("row_id", F.col("element_id").alias("branch_id"))
+    def set_contingency(self, kind: str, off: DataFrame) -> None:
+        """Elements of one kind (any of rows.KINDS) that are off: (row_id, <kind>_id), or (row_id, branch_id) for the sides of branches."""
+        self._replace(kind, off)
 
     def set_contingency_gens(self, off: DataFrame) -> None:
-        self.gen_off = off
+        self._replace("gen", off)
+
+    def _replace(self, kind: str, off: DataFrame) -> None:
+        column = "branch_id" if kind.startswith("branch") else f"{kind}_id"
+        new = off.select("row_id", F.lit(kind).alias("element_type"), F.col(column).cast("int").alias("element_id"))
+        old = None if self.trip is None else self.trip.where(F.col("element_type") != kind)
+        self.trip = new if old is None else old.unionByName(new)
 
     def set_gen_v(self, gen_v: DataFrame) -> None:
         v = rows.set_points(self.grid, gen_v)
-        self.conflicts = v.where("conflict").select("row_id").distinct()
+        self.conflicts = v.where("conflict").select("row_id", "conflict").distinct()
         self.v_set = v.where("not conflict").select("row_id", "bus_id", "v_set")
 
     def _trips(self) -> DataFrame | None:
-        return self.topology
+        return None if self.trip is None else self.trip.where("element_type like 'branch%'").select("row_id", F.col("element_id").alias("branch_id"))
 
     def _inputs(self) -> DataFrame:
-        return row_inputs(self.grid, self.sbus, self.sbus, self.topology, self.gen_off, getattr(self, "v_set", None))
-
-    def compute(self) -> DataFrame:
-        out = super().compute()
-        if hasattr(self, "conflicts"):
-            bad = self.conflicts.withColumn("__bad", F.lit(True))
-            out = out.join(bad, "row_id", "left").withColumns({"status": F.when(F.col("__bad"), 3).otherwise(F.col("status")), "reason": F.when(F.col("__bad"), "generators of one bus have different set-points").otherwise(F.col("reason"))}).drop("__bad")
-            self.result = out
-        return out
+        trip = None if self.trip is None else rows.normalise_sides(self.trip)
+        none = self.grid.spark.createDataFrame([], "row_id long, conflict boolean")
+        reasons = rows.unsupported(none if self.conflicts is None else self.conflicts, self.grid.spark.createDataFrame([], rows.TRIP) if trip is None else trip, self.parts is None)
+        return row_inputs(self.grid, self._rows(), self._injections(trip), v_set=getattr(self, "v_set", None), elements=trip, reasons=reasons)
 
 
 __all__ = ["AcPowerFlow", "ContingencyAnalysis", "InjectionSweep", "ScenarioSweep", "assemble"]

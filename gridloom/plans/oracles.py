@@ -45,7 +45,7 @@ _TABLES = {
     "round1": """select row_id, gen_id, bus_id, weight, case when lost > 0 and cand >= hi then greatest(p_mw, hi) when lost < 0 and cand <= lo then least(p_mw, lo) else cand end as new_p,
         (lost > 0 and cand >= hi) or (lost < 0 and cand <= lo) as saturated from share""",
     "allv": """select *, sqrt(v2) as vm, -atan2(p * x - q * r, v2 + p * r + q * x) as va from (select *, (0.5 - (p * r + q * x)) + sqrt((0.5 - (p * r + q * x)) * (0.5 - (p * r + q * x)) - (p * p + q * q) * (r * r + x * x)) as v2 from (
-        select k as row_id, load_id, (0.8 + 0.4 * k / 96) * l.p / 100 as p, (0.8 + 0.4 * k / 96) * l.q / 100 as q, r, x from range(97) t(k) cross join load l join trafo on branch_id = load_id))""",
+        select row_id, load_id, k * l.p / 100 as p, k * l.q / 100 as q, r, x from ords cross join load l join trafo on branch_id = load_id))""",
     "hv": """select row_id, h as hvdc_id, raw, abs(raw) * (1 - case when raw >= 0 then 0.01 else 0.02 end) as y, case when raw >= 0 then 0.02 else 0.01 end as lr from (
         select a.row_id, h, (4.0 - 2 * h) + 900.0 * (a.va - b.va) as raw from range(5) t(h) join allv a on a.load_id = 5 * h join allv b on b.load_id = 5 * h + 1 and b.row_id = a.row_id)""",
     "basev": "select load_id, sqrt(a + sqrt(a * a - (p * p + q * q) * (r * r + x * x))) as vm from (select *, 0.5 - (p * r + q * x) as a from (select load_id, p / 100 as p, q / 100 as q, r, x from load join trafo on branch_id = load_id))",
@@ -55,6 +55,13 @@ _TABLES = {
 }
 
 
+def _closed(source: str) -> str:
+    """Voltages at the far ends of the radial grid for rows (row_id, load_id, p, q per unit drawn, r, x)."""
+    a = "(0.5 - (p * r + q * x))"
+    return f"""select row_id, 100 + load_id as bus_id, {_r('sqrt(v2)', 'vm')}, {_r('-atan2(p * x - q * r, v2 + p * r + q * x)', 'va')} from (
+        select *, {a} + sqrt({a} * {a} - (p * p + q * q) * (r * r + x * x)) as v2 from ({source}))"""
+
+
 def _needs(sql: str, among: list[str]) -> set[str]:
     """Names of the common tables that sql takes, with those that they take: a table takes only ones above it."""
     own = {n for n in among if re.search(rf"\b{n}\b(?!\s*\()", sql)}
@@ -96,6 +103,9 @@ _BODIES = {
     "component_mask": "select row_id, bus_id, comp, masked from mask",
     "reference_slack": "select bus_id, coalesce(n, 0) as stranded from (select bus_id, max(weight) as w from gen group by 1) left join (select bus_id, count(*) as n from mask where masked group by 1) using (bus_id) order by 2, w desc, bus_id limit 1",
     "pf_radial_voltage": f"select row_id, 100 + load_id as bus_id, {_r('vm', 'vm')}, {_r('va', 'va')} from vsol",
+    "load_trip": _closed("select row_id, load_id, case when row_id % 25 = load_id then 0 else p end as p, case when row_id % 25 = load_id then 0 else q end as q, r, x from pq"),
+    "gen_off_solve": _closed("""select row_id, load_id, p - coalesce(fed, 0) / 100 as p, q, r, x from pq left join (
+        select row_id, bus_id - 100 as load_id, sum(p_mw) as fed from ords join nat using (g) join gen on bus_id = 100 + n anti join goff using (row_id, gen_id) group by 1, 2) using (row_id, load_id)"""),
     "kcl_mismatch": "select row_id, 100 + load_id as bus_id, true as balanced from vsol",
     "branch_flows_amps": f"select row_id, load_id as branch_id, {_r('i * 100 * 1000 / (sqrt(3.0) * 400)', 'i_or_a', 5)}, {_r('i * 100 * 1000 / (sqrt(3.0) * 225)', 'i_ex_a', 5)} from cur",
     "branch_flows_power": f"select row_id, load_id as branch_id, {_r('ir * 100', 'p_or_mw', 5)}, {_r('-ii * 100', 'q_or_mvar', 5)}, {_r('-p * 100', 'p_ex_mw', 5)}, {_r('-q * 100', 'q_ex_mvar', 5)} from cur",

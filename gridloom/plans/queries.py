@@ -161,6 +161,27 @@ def pf_radial_voltage(spark, d):
     return out.join(region, ["row_id", "bus_id"]).select("row_id", "bus_id", *_r("vm", "va"))
 
 
+def _region_voltages(spark, d, g, sbus, **parts):
+    out = voltages(g, solve_rows(g, row_inputs(g, sbus, sbus, **parts), TIGHT))
+    return out.join(_order_sbus(spark, d, g).select("row_id", "bus_id"), ["row_id", "bus_id"]).select("row_id", "bus_id", *_r("vm", "va"))
+
+
+def load_trip(spark, d):
+    """Newton on every order's scenario with one load off, against the closed form."""
+    g = derived_grid(spark, d)
+    load = _order_loads(spark, d, g)
+    trip = _order_rows(spark, d).selectExpr("row_id", "'load' as element_type", "cast(row_id % 25 as int) as element_id")
+    return _region_voltages(spark, d, g, rows.bus_injections(g.with_(gen=g.gen.limit(0)), load, load, off=trip), elements=trip)
+
+
+def gen_off_solve(spark, d):
+    """Newton on every order's scenario with the suppliers' generators, less those of its line items, against the closed form."""
+    g = derived_grid(spark, d)
+    load = _order_loads(spark, d, g)
+    off = _gen_off(spark, d)
+    return _region_voltages(spark, d, g, rows.bus_injections(g, load, load, off=off), elements=off)
+
+
 def pf_residual(spark, d):
     g = derived_grid(spark, d)
     sbus = _order_sbus(spark, d, g)
@@ -290,10 +311,9 @@ def _hvdc(spark):
 
 
 def _all_v(spark, d):
-    """Voltages of every bus for the first load factors: rows by (order key mod 97)."""
+    """Voltages of every bus on every order's row, whose factor goes to all loads."""
     g = derived_grid(spark, d)
-    k = spark.range(97).selectExpr("id as row_id", "0.8D + 0.4D * id / 96 as k")
-    sbus = k.crossJoin(F.broadcast(g.load)).selectExpr("row_id", "bus_id", "-k * p_mw as p_mw", "-k * q_mvar as q_mvar")
+    sbus = _order_rows(spark, d).crossJoin(F.broadcast(g.load)).selectExpr("row_id", "bus_id", "-k * p_mw as p_mw", "-k * q_mvar as q_mvar")
     return radial.closed_form(g, sbus)
 
 
@@ -307,7 +327,7 @@ def hvdc_saturation(spark, d):
 
 def control_releases(spark, d):
     f = _t(spark, d, "nation").selectExpr("5 as element_type", "cast(n_nationkey as int) as element_id", "cast(100 + n_nationkey as int) as reg_bus", "n_nationkey % 2 = 0 as at_min", "n_nationkey % 5 = 0 as standby", "0.9967D as v_target", "0.9962D as v_low", "0.9972D as v_high", "n_nationkey % 7 = 1 as remote")
-    frozen = spark.range(97).withColumnRenamed("id", "row_id").crossJoin(F.broadcast(f))
+    frozen = _order_rows(spark, d).select("row_id").crossJoin(F.broadcast(f))
     return physical.releases(frozen, _all_v(spark, d), 1e-4).select("row_id", "element_id", "violation_type", *_r("value", "limit"))
 
 
@@ -374,7 +394,7 @@ def throughput_pivot(spark, d):
 
 
 NAMES = [ybus_assembly, branch_patch, branch_patch_merged, one_sided_patch, trip_dedup, side_normalise, n1_enumeration, scenario_assembly, bus_injections, gen_off_injections, pv_to_pq_flip, gen_v_conflict,
-         bridge_rows, component_mask, reference_slack, pf_radial_voltage, pf_residual, pf_meshed_status, pf_ieee14_n1, pf_outer_loops, pf_distributed_slack, kcl_mismatch, kcl_summary, branch_flows_amps,
+         bridge_rows, component_mask, reference_slack, pf_radial_voltage, load_trip, gen_off_solve, pf_residual, pf_meshed_status, pf_ieee14_n1, pf_outer_loops, pf_distributed_slack, kcl_mismatch, kcl_summary, branch_flows_amps,
          branch_flows_power, tripped_flows_zero, voltage_limits, current_limits, violations_topk, violation_counts, violations_base, row_status, solver_records, category_dim, bus_q_check, gen_p_check, hvdc_flow,
          hvdc_saturation, control_releases, slack_lost_power, slack_distribute_1round, slack_distribute_full, slack_weights, new_vs_base, n1_report, worst_rows, second_pass_merge, throughput_pivot]
 

@@ -81,5 +81,7 @@ SCHEMAS = {
     "load": "load_id int, bus_id int, p_mw double, q_mvar double",
     "gen": "gen_id int, bus_id int, p_mw double, v_set double, min_p double, max_p double, min_q double, max_q double, weight double",
     "shunt": "shunt_id int, bus_id int, g_mw double, b_mvar double",
+    "sgen": "sgen_id int, bus_id int, p_mw double, q_mvar double",
+    "storage": "storage_id int, bus_id int, p_mw double, q_mvar double",
     "hvdc": "hvdc_id int, bus1 int, bus2 int, p0_mw double, k double, lf1 double, lf2 double, r double, pmax_mw double",
 }

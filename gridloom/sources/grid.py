@@ -12,7 +12,7 @@ from ..schema import SCHEMAS
 
 @dataclass(frozen=True)
 class Grid:
-    """Normalised element tables. kind of a bus: slack, pv or pq; branches count lines first, then trafos."""
+    """Normalised element tables. kind of a bus: slack, pv or pq; branches count lines first, then trafos. Loads and storages draw power, generators and static generators feed it in."""
 
     spark: SparkSession
     bus: DataFrame
@@ -20,6 +20,8 @@ class Grid:
     load: DataFrame
     gen: DataFrame
     shunt: DataFrame
+    sgen: DataFrame
+    storage: DataFrame
     hvdc: DataFrame
     sn_mva: float = 100.0
 
@@ -36,7 +38,7 @@ def make_grid(spark: SparkSession, sn_mva: float = 100.0, **tables) -> Grid:
     def of(name: str) -> DataFrame:
         t = tables.get(name)
         return empty(spark, name) if t is None else t if isinstance(t, DataFrame) else spark.createDataFrame(t, SCHEMAS[name])
-    return Grid(spark, *(of(n) for n in ("bus", "branch", "load", "gen", "shunt", "hvdc")), sn_mva)
+    return Grid(spark, *(of(n) for n in ("bus", "branch", "load", "gen", "shunt", "sgen", "storage", "hvdc")), sn_mva)
 
 
 def read_grid(spark: SparkSession, folder: str, fmt: str = "parquet", sn_mva: float = 100.0) -> Grid:
