@@ -138,19 +138,31 @@ def check_row_sets(*tables: DataFrame) -> None:
             raise ValueError("the row specifications are not about the same rows")
 
 
+def _uniform(seed: int):
+    """In (0, 1), by a hash of row, load and seed."""
+    return (F.pmod(F.xxhash64(F.lit(seed), "row_id", "load_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def normal(seed: int):
+    """Standard normal, by hashes of row, load, seed and seed + 1."""
+    return F.sqrt(-2 * F.log(_uniform(seed))) * F.cos(2 * 3.141592653589793 * _uniform(seed + 1))
+
+
 def lognormal_scenarios(spark: SparkSession, grid: Grid, n: int, sigma: float = 0.05, seed: int = 0) -> DataFrame:
     """load_p of n rows: each load times exp(sigma * noise), the noise a hash of row, load and seed."""
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), "row_id", "load_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    z = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * 3.141592653589793 * u(2))
-    return spark.range(n).withColumnRenamed("id", "row_id").crossJoin(F.broadcast(grid.load)).select("row_id", "load_id", (F.col("p_mw") * F.exp(sigma * z)).alias("p_mw"), (F.col("q_mvar") * F.exp(sigma * z)).alias("q_mvar"))
+    z = F.exp(sigma * normal(seed + 1))
+    return spark.range(n).withColumnRenamed("id", "row_id").crossJoin(F.broadcast(grid.load)).select("row_id", "load_id", (F.col("p_mw") * z).alias("p_mw"), (F.col("q_mvar") * z).alias("q_mvar"))
+
+
+def follow_loads(grid: Grid, load: DataFrame) -> DataFrame:
+    """gen_p (row_id, gen_id, p_mw): all scaled by (the row's loads - negative generators) / the grid's loads; negative generators stay as they are."""
+    base = grid.load.agg(F.sum("p_mw").alias("base")).crossJoin(grid.gen.agg(F.coalesce(F.sum(F.least("p_mw", F.lit(0.0))), F.lit(0.0)).alias("negative")))
+    ratio = load.groupBy("row_id").agg(F.sum("p_mw").alias("total")).crossJoin(F.broadcast(base)).selectExpr("row_id", "(total - negative) / base as ratio")
+    return ratio.crossJoin(F.broadcast(grid.gen)).selectExpr("row_id", "gen_id", "case when p_mw > 0 then p_mw * ratio else p_mw end as p_mw")
 
 
 def uniform_scenarios(spark: SparkSession, grid: Grid, n: int, spread: float = 0.1, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(load_p, gen_p): positive loads within +-spread on P and Q apart; generators follow their row's total; negative elements stay."""
-    u = lambda k: 1 + spread * (2 * (F.pmod(F.xxhash64(F.lit(seed + k), "row_id", "load_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52) - 1)
-    load = spark.range(n).withColumnRenamed("id", "row_id").crossJoin(F.broadcast(grid.load)).select(
-        "row_id", "load_id", F.when(F.col("p_mw") > 0, F.col("p_mw") * u(1)).otherwise(F.col("p_mw")).alias("p_mw"), F.when(F.col("p_mw") > 0, F.col("q_mvar") * u(2)).otherwise(F.col("q_mvar")).alias("q_mvar"))
-    base = grid.load.agg(F.sum("p_mw").alias("base"))
-    ratio = load.groupBy("row_id").agg(F.sum("p_mw").alias("total")).crossJoin(F.broadcast(base)).selectExpr("row_id", "total / base as ratio")
-    gen = ratio.crossJoin(F.broadcast(grid.gen)).selectExpr("row_id", "gen_id", "case when p_mw > 0 then p_mw * ratio else p_mw end as p_mw")
-    return load, gen
+    """(load_p, gen_p): every load within +-spread, P and Q apart (a negative load too); generators follow their row's total."""
+    drawn = lambda c, k: (F.col(c) * (1 + spread * (2 * _uniform(seed + k) - 1))).alias(c)
+    load = spark.range(n).withColumnRenamed("id", "row_id").crossJoin(F.broadcast(grid.load)).select("row_id", "load_id", drawn("p_mw", 1), drawn("q_mvar", 2))
+    return load, follow_loads(grid, load)

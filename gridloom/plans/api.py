@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ from .powerflow import arrays, base_case, row_inputs, solve_rows, voltages
 from .solver import Options
 
 
+#: What a study can write or hand over.
+OUTPUTS = ("voltages", "flows", "violations", "converged", "metrics")
+
+
 class _Study:
     def __init__(self, grid: Grid, options: Options | None = None, handle_islands: bool = False, controls=None):
         self.grid, self.options, self.handle_islands, self.controls = grid, options or Options(), handle_islands, controls
@@ -28,9 +33,20 @@ class _Study:
     def _trips(self) -> DataFrame | None:
         return None
 
+    _kept = None
+
+    def _base(self):
+        """Arrays and base case of the grid: read and solved once, then kept until the grid or the options change."""
+        if self._kept is None or self._kept[0] is not self.grid or self._kept[1] != self.options:
+            a = arrays(self.grid)
+            self._kept = self.grid, replace(self.options), a, base_case(a, self.options)
+        return self._kept[2:]
+
     def compute(self) -> DataFrame:
         """One record for each row (lazy): status, residual, iterations, voltages."""
-        self.result = solve_rows(self.grid, self._inputs(), self.options, self.handle_islands, self.controls)
+        self.options.check()
+        a, warm = self._base()
+        self.result = solve_rows(self.grid, self._inputs(), self.options, self.handle_islands, self.controls, warm, a)
         return self.result
 
     def voltages(self) -> DataFrame:
@@ -42,6 +58,35 @@ class _Study:
     def violations(self, capacity: int = 16) -> DataFrame:
         return limits.with_category(limits.violations(self.grid, self.result, self.voltages(), self.flows(), self._trips(), capacity))
 
+    def base_violations(self, capacity: int = 16) -> DataFrame:
+        """What the grid itself violates without any row's changes; its row_id is 0."""
+        base = AcPowerFlow(self.grid, self.options)
+        base._kept = self._kept
+        base.compute()
+        return base.violations(capacity)
+
+    def to_arrow(self, of: str = "voltages", most: int = 10_000_000):
+        """An Arrow table of one of OUTPUTS in the driver's memory: refused beyond `most` rows (see map_arrow)."""
+        df = self._output(of)
+        got = df.limit(most + 1).toArrow()
+        if got.num_rows > most:
+            raise ValueError(f"{of} has more than {most} rows: use map_arrow or write")
+        return got
+
+    def map_arrow(self, run, schema: str, of: str = "voltages") -> DataFrame:
+        """Hand one of OUTPUTS as Arrow batches to run(batches), on the executors."""
+        return self._output(of).mapInArrow(run, schema)
+
+    def write(self, folder: str, fmt: str = "parquet", outputs: tuple[str, ...] = OUTPUTS) -> None:
+        """folder/<output> for each of outputs, in any of Spark's formats that holds its columns."""
+        for of in outputs:
+            self._output(of).write.mode("overwrite").format(fmt).save(f"{folder}/{of}")
+
+    def _output(self, of: str) -> DataFrame:
+        if of not in OUTPUTS:
+            raise ValueError(f"{of} is none of {', '.join(OUTPUTS)}")
+        return getattr(self, of)()
+
     def converged(self) -> DataFrame:
         return limits.converged(self.result.select("row_id", "status", "residual"), self.options.tol)
 
@@ -54,7 +99,7 @@ class AcPowerFlow(_Study):
         return row_inputs(self.grid, self.grid.spark.range(1).withColumnRenamed("id", "row_id"))
 
     def base(self):
-        return base_case(arrays(self.grid), self.options)
+        return self._base()[1]
 
 
 class ContingencyAnalysis(_Study):
@@ -71,9 +116,34 @@ class ContingencyAnalysis(_Study):
         at = rows.KINDS.index(kind)
         self.add_contingencies([tuple(ids if i == at else [] for i in range(len(rows.KINDS))) for ids in lists])
 
+    def add_contingency_shunt(self, *ids: int) -> None:
+        self.add_contingency("shunt", [list(ids)])
+
+    def add_contingency_load(self, *ids: int) -> None:
+        self.add_contingency("load", [list(ids)])
+
+    def add_contingency_gen(self, *ids: int) -> None:
+        self.add_contingency("gen", [list(ids)])
+
+    def add_contingency_sgen(self, *ids: int) -> None:
+        self.add_contingency("sgen", [list(ids)])
+
+    def add_contingency_storage(self, *ids: int) -> None:
+        self.add_contingency("storage", [list(ids)])
+
+    def add_contingency_svc(self, *ids: int) -> None:
+        self.add_contingency("svc", [list(ids)])
+
+    def add_contingency_hvdc(self, *ids: int) -> None:
+        self.add_contingency("hvdc", [list(ids)])
+
     def n_minus_1(self) -> None:
         self.trip = rows.n_minus_1(self.grid)
 
+    def report(self, capacity: int = 16) -> DataFrame:
+        """What each row adds to the base case's violations."""
+        return limits.n1_report(self.result, self.violations(capacity), self.base_violations(capacity))
+
     def get_contingencies(self) -> DataFrame:
         return rows.trip_lists(self.trip)
 
@@ -90,11 +160,16 @@ class InjectionSweep(_Study):
 
     parts = sbus = None
 
-    def set_injections(self, sbus: DataFrame) -> None:
-        self.sbus, self.parts = sbus, None
+    def set_injections(self, sbus) -> None:
+        """By bus: a DataFrame or an Arrow table (row_id, bus_id, p_mw, q_mvar)."""
+        self.sbus, self.parts = self._frame(sbus), None
+
+    def set_injections_from_elements(self, load_p, gen_p=None) -> None:
+        """By load and generator: DataFrames or Arrow tables (row_id, load_id, p_mw, q_mvar) and (row_id, gen_id, p_mw)."""
+        self.parts, self.sbus = (self._frame(load_p), None if gen_p is None else self._frame(gen_p)), None
 
-    def set_injections_from_elements(self, load_p: DataFrame, gen_p: DataFrame | None = None) -> None:
-        self.parts, self.sbus = (load_p, gen_p), None
+    def _frame(self, table) -> DataFrame:
+        return table if isinstance(table, DataFrame) else self.grid.spark.createDataFrame(table)
 
     def _injections(self, off: DataFrame | None = None) -> DataFrame:
         """What each row injects without what is off there: with the row's own values, or, where injections are given by bus, less the grid's."""
