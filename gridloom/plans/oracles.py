@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from ..operators import profiles
+
 _TABLES = {
     "nat": "select n_nationkey as n, n_regionkey as g from nation",
     "load": "select c_nationkey as load_id, 20 + 1.0::double / 7 + 0.002::double * avg(c_acctbal) as p, 0.3 * (20 + 1.0::double / 7 + 0.002::double * avg(c_acctbal)) as q from customer group by 1",
@@ -78,6 +80,8 @@ def _r(x: str, name: str, n: int = 6) -> str:
     return f"round({x}, {n}) + 0.0 as {name}"
 
 
+_DAY = ", ".join(f"({hour}, {', '.join(f'{x!r}::double' for x in piece)})" for hour, piece in enumerate(profiles.cubic([h * 1.01 * 1.01 for h in [*profiles.HOURS, profiles.HOURS[0]]]).tolist()))
+
 _BODIES = {
     "ybus_assembly": f"select i, j, {_r('sum(g)', 'g')}, {_r('sum(b)', 'b')} from stamp group by 1, 2",
     "branch_patch": f"select row_id, branch_id, i, j, {_r('-g', 'dg')}, {_r('-b', 'db')} from (select distinct l_orderkey as row_id, l_partkey % 50 as branch_id from lineitem) join stamp using (branch_id)",
@@ -131,6 +135,9 @@ _BODIES = {
     "control_releases": f"""select row_id, load_id as element_id, vt as violation_type, {_r('vm', 'value')}, case when vt in (11, 13) then 0.9962 when vt in (12, 14) then 0.9972 else 0.9967 end::double as "limit" from (select row_id, load_id, vm,
         case when load_id % 5 = 0 then case when vm < 0.9962 - 1e-4 then 11 when vm > 0.9972 + 1e-4 then 12 end when load_id % 7 = 1 then case when vm < 0.9962 - 1e-4 then 13 when vm > 0.9972 + 1e-4 then 14 end
              when load_id % 2 = 0 and vm < 0.9967 - 1e-4 then 9 when load_id % 2 = 1 and vm > 0.9967 + 1e-4 then 10 end as vt from allv) where vt is not null""",
+    "day_scenarios": f"""select row_id, gen_id, {_r('case when p_mw > 0 then p_mw * (total - negative) / base else p_mw end', 'p_mw', 5)} from gen, (select sum(p) as base from load),
+        (select coalesce(sum(p_mw) filter (p_mw < 0), 0) as negative from gen),
+        (select row_id, sum(p * (a + u * (b + u * (c + u * e)))) as total from load, (select hour * 4 + q as row_id, a, b, c, e, q / 4.0::double as u from (values {_DAY}) t(hour, a, b, c, e), (select unnest([0, 1, 2, 3]) as q)) group by 1)""",
     "slack_lost_power": f"select row_id, {_r('sum(p_mw)', 'lost_mw', 5)} from goff join gen using (gen_id) group by 1",
     "slack_distribute_1round": f"select row_id, gen_id, {_r('new_p', 'new_p')}, saturated from round1",
     "slack_distribute_full": "select row_id, true as conserved, count(*) as n_units from unit group by 1",

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import balance, flows, limits, physical, radial, rows, topology, ybus
+from ..operators import balance, flows, limits, physical, profiles, radial, rows, topology, ybus
 from ..sources.grid import derived_grid, ieee14, make_grid
 from .api import ContingencyAnalysis
 from .powerflow import row_inputs, solve_rows, voltages
@@ -105,6 +105,11 @@ def scenario_assembly(spark, d):
     return _order_loads(spark, d, derived_grid(spark, d)).select("row_id", "load_id", *_r("p_mw", "q_mvar"))
 
 
+def day_scenarios(spark, d):
+    """Generators that follow the loads along a day in quarters of an hour, without noise (SQL has no equal hash)."""
+    return profiles.hourly_scenarios(spark, derived_grid(spark, d), 96, sigma=0.0)[1].select("row_id", "gen_id", *_r("p_mw", n=5))
+
+
 def bus_injections(spark, d):
     g = derived_grid(spark, d)
     load = _order_loads(spark, d, g)
@@ -393,7 +398,7 @@ def throughput_pivot(spark, d):
     return _t(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.max("l_extendedprice")).select("l_returnflag", *_r("F", "O", n=2))
 
 
-NAMES = [ybus_assembly, branch_patch, branch_patch_merged, one_sided_patch, trip_dedup, side_normalise, n1_enumeration, scenario_assembly, bus_injections, gen_off_injections, pv_to_pq_flip, gen_v_conflict,
+NAMES = [ybus_assembly, branch_patch, branch_patch_merged, one_sided_patch, trip_dedup, side_normalise, n1_enumeration, scenario_assembly, day_scenarios, bus_injections, gen_off_injections, pv_to_pq_flip, gen_v_conflict,
          bridge_rows, component_mask, reference_slack, pf_radial_voltage, load_trip, gen_off_solve, pf_residual, pf_meshed_status, pf_ieee14_n1, pf_outer_loops, pf_distributed_slack, kcl_mismatch, kcl_summary, branch_flows_amps,
          branch_flows_power, tripped_flows_zero, voltage_limits, current_limits, violations_topk, violation_counts, violations_base, row_status, solver_records, category_dim, bus_q_check, gen_p_check, hvdc_flow,
          hvdc_saturation, control_releases, slack_lost_power, slack_distribute_1round, slack_distribute_full, slack_weights, new_vs_base, n1_report, worst_rows, second_pass_merge, throughput_pivot]
