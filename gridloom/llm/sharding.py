@@ -5,6 +5,7 @@ often they occur. Slots number each shard's rows from 0 without gaps: rows are c
 and shard first, and each partition then numbers its own rows from its offset, so that no shard is
 ever sorted or gathered in one task.
 
+Integer keys are hashed as they are, any other by the 64-bit hash of its text; the key comes back in its own type (integers as long).
 Nulls: a null key hashes as 0; a null text has 0 bytes (size 1) and the CRC-32 of nothing, 0.
 Repeated rows each get a slot of their own. An empty table gives an empty result. Other columns
 of the input are not read.
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import shared_dir
 
@@ -46,19 +48,24 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
 def shard_rows(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: key, size, text_crc32, law, shard, slot, grown_shard."""
     spark = docs.sparkSession
+    whole = isinstance(docs.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    own = F.col(f"`{key}`").cast("long") if whole else F.col(f"`{key}`")
+    kind = "long" if whole else docs.schema[key].dataType.simpleString()
+    stable = own if whole else F.when(own.isNotNull(), F.xxhash64(own.cast("string")))
     light = docs.select(
-        F.col(f"`{key}`").cast("long").alias(key),
+        own.alias(key),
         (F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + 1).alias("size"),
-        F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")).alias("text_crc32"))
+        F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.coalesce(stable, F.lit(0)).alias("stable"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            k = b.column(3).to_numpy(zero_copy_only=False)
             now, grown = jump_hash(k, shards), jump_hash(k, shards + 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(now.astype(np.int32)), pa.array(grown.astype(np.int32))],
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(now.astype(np.int32)), pa.array(grown.astype(np.int32))],
                                              names=[key, "size", "text_crc32", "shard", "grown_shard"])
 
-    placed = light.mapInArrow(place, f"`{key}` long, size long, text_crc32 long, shard int, grown_shard int")
+    placed = light.mapInArrow(place, f"`{key}` {kind}, size long, text_crc32 long, shard int, grown_shard int")
     # A reliable checkpoint: both passes below see the same rows in the same partitions, also after a lost executor.
     shared_dir(spark)
     placed = placed.checkpoint().withColumn("part", F.spark_partition_id())
@@ -77,7 +84,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str
             seen += n
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local)], names=[*b.schema.names, "local"])
 
-    numbered = placed.mapInArrow(number, f"`{key}` long, size long, text_crc32 long, shard int, grown_shard int, part int, local long")
+    numbered = placed.mapInArrow(number, f"`{key}` {kind}, size long, text_crc32 long, shard int, grown_shard int, part int, local long")
     return numbered.join(before, ["part", "shard"]).select(
         F.col(f"`{key}`"), "size", "text_crc32", F.lit("key").alias("law"), "shard",
         (F.col("base") + F.col("local")).alias("slot"), "grown_shard")

@@ -9,7 +9,8 @@ passes possible hits only to an exact hash join, so a listed URL is blocked and
 
 Nulls: a null URL, or one without "://", has an empty host and path, no canonical form, no rule
 and the verdict "allow". Repeated rows are judged row by row; repeated list entries count once.
-An empty list blocks nothing. Columns beside the URL pass through untouched.
+An empty list blocks nothing. Columns beside the URL pass through untouched,
+but for any named host, path, rule or verdict, which the results replace. The canonical form has no query and no fragment.
 """
 
 from __future__ import annotations

@@ -167,6 +167,27 @@ def test_shards(spark):
     assert sharding.shard_rows(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_shards_of_text_keys(spark):
+    keys = [f"k{i}" for i in range(200)] + ["b", "", None, "k7"]
+    df = spark.createDataFrame([(k, "x") for k in keys], "doc_id string, text string").repartition(3)
+    got = sharding.shard_rows(df).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(map(str, keys))
+    hashed = {r.doc_id: r.h for r in df.selectExpr("doc_id", "if(doc_id is null, 0, xxhash64(doc_id)) as h").collect()}
+    assert all(r.shard == jump(hashed[r.doc_id], 16) and r.grown_shard in (r.shard, 16) for r in got)
+
+
+def test_clashing_columns_are_not_read(spark):
+    rows = [(i, prose(4)) for i in range(40)]
+    plain = spark.createDataFrame(rows, EMPTY)
+    names = ["key", "grp", "held_out", "score", "size", "shard", "slot", "stable", "part", "word", "n"]
+    more = plain.selectExpr("doc_id", "text", *[f"'clash' as {c}" for c in names])
+    columns = ("doc_id", "size", "text_crc32", "shard", "grown_shard")
+    pick = lambda df: sorted(tuple(r[c] for c in columns) for r in df.collect())
+    assert pick(sharding.shard_rows(more)) == pick(sharding.shard_rows(plain))
+    rounded = lambda df: sorted((r.doc_id, r.n_tokens, round(r.base_score, 9), round(r.score, 6)) for r in df.collect())
+    assert rounded(lm_scoring.score_texts(more)) == rounded(lm_scoring.score_texts(plain))
+
+
 # ---- 5 and 7 -------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
