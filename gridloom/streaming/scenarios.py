@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.powerflow import arrays, base_case, row_inputs, solve_rows
+from ..plans.powerflow import arrays, row_inputs, solve_rows, start
 from ..plans.solver import Options
 from ..sources.grid import Grid
 
@@ -20,7 +20,7 @@ def windowed_injections(stream: DataFrame, window: str = "10 minutes", late: str
 
 def solve_stream(grid: Grid, stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, window: str = "10 minutes", late: str = "10 minutes", options: Options | None = None):
     """Start a query that solves each finished window and hands the results to sink(results, epoch)."""
-    warm = base_case(arrays(grid), options)
+    warm = start(arrays(grid), options or Options())
 
     def each(batch: DataFrame, epoch: int) -> None:
         sink(solve_rows(grid, row_inputs(grid, batch, batch), options, warm=warm), epoch)
