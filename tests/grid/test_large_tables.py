@@ -1,5 +1,6 @@
 """What larger tables bring along: grids without a base case, rows by the million."""
 
+import importlib
 import os
 
 import duckdb
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as e
+from gridloom.operators import balance
 from gridloom.plans.oracles import ORACLES
 
 SMALL = "/root/testdata/sf0.001"
@@ -48,3 +50,19 @@ def test_rows_without_a_solution_have_no_voltages(spark, fed):
     # Regions without a supplier are solved; in the others more is fed in than the transformers can carry.
     lost = got.groupby("row_id")["vm"].agg(lambda x: x.isna().sum())
     assert set(lost) == {0, 5} or set(lost) == {5}
+
+
+@pytest.mark.parametrize("name, module, operator, most", [("gen_p_check", "physical", "gen_p_check", 97 * 4), ("slack_distribute_1round", "balance", "one_round", 97 * 5), ("slack_distribute_full", "balance", "distribute", 97 * 5), ("slack_weights", "balance", "one_round", 97 * 5)])
+def test_what_many_rows_share_is_worked_out_once(spark, monkeypatch, name, module, operator, most):
+    """97 load factors in 5 regions (or on 4 buses) are all that 1,500 rows differ in."""
+    m, seen = importlib.import_module(f"gridloom.operators.{module}"), []
+    monkeypatch.setattr(m, operator, lambda *x, f=getattr(m, operator): seen.append(x[1]) or f(*x))
+    got = e.queries()[name](spark, SMALL)
+    assert seen and seen[0].count() <= most
+    assert got.select("row_id").distinct().count() > most
+
+
+def test_distribute_keeps_any_row_id(spark):
+    units = spark.sql("select named_struct('g', 1, 'lost_mw', 3.0D) as row_id, cast(id as int) as gen_id, 1.0D * id as p_mw, 1.0D as weight, 0.0D as min_p, 3.0D as max_p from range(3)")
+    got = balance.distribute(units, spark.sql("select named_struct('g', 1, 'lost_mw', 3.0D) as row_id, 3.0D as lost_mw"))
+    assert [tuple(r) for r in got.select("row_id.g", "gen_id", F.round("new_p", 6)).orderBy("gen_id").collect()] == [(1, 0, 1.0), (1, 1, 2.0), (1, 2, 3.0)]
