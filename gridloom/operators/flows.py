@@ -19,10 +19,11 @@ def branch_flows(grid: Grid, v: DataFrame, trips: DataFrame | None = None, overr
     base = grid.bus.select("bus_id", "vn_kv")
     y = (y.join(base.withColumnsRenamed({"bus_id": "f", "vn_kv": "vf"}), "f", "left").join(base.withColumnsRenamed({"bus_id": "t", "vn_kv": "vt"}), "t", "left")
          .withColumns({"vf": F.coalesce("vf", "vt"), "vt": F.coalesce("vt", "vf")}))
-    rows = v.select("row_id", "bus_id", "re", "im")
-    # Voltages are the large side: the grid's branches go to them, and one shuffle brings both ends together.
-    at = lambda end: rows.join(F.broadcast(y.select("branch_id", F.col(end).alias("bus_id"))), "bus_id").select("row_id", "branch_id", F.col("re").alias(f"{end}_re"), F.col("im").alias(f"{end}_im"))
-    both = at("f").join(at("t"), ["row_id", "branch_id"], "full").na.fill(0.0, ["f_re", "f_im", "t_re", "t_im"])
+    # Voltages are the large side: the grid's branch ends go to them, and one grouping brings both ends together.
+    ends = y.select("branch_id", F.col("f").alias("bus_id"), F.lit("f").alias("end")).unionByName(y.select("branch_id", F.col("t").alias("bus_id"), F.lit("t").alias("end")))
+    at = v.select("row_id", "bus_id", "re", "im").join(F.broadcast(ends), "bus_id")
+    both = at.groupBy("row_id", "branch_id").agg(*[F.max(F.when(F.col("end") == end, F.col(c))).alias(f"{end}_{c}") for end in ("f", "t") for c in ("re", "im")])
+    both = both.na.fill(0.0, ["f_re", "f_im", "t_re", "t_im"])
     full = both.join(F.broadcast(y), "branch_id")
     if overrides is not None:
         names = [c for c in overrides.columns if c.startswith("y")]
@@ -45,9 +46,13 @@ def kcl_mismatch(grid: Grid, ybus: DataFrame, v: DataFrame, sbus: DataFrame, fli
 
     flips (row_id, bus_id): pv buses that are pq on a row.
     """
+    # A bus's own voltage comes along with its diagonal entry, its injection as one more record: one grouping and no joins of large sides.
     i = (v.select("row_id", F.col("bus_id").alias("j"), "re", "im").join(F.broadcast(ybus), "j").groupBy("row_id", F.col("i").alias("bus_id"))
-         .agg(F.sum(F.expr("g * re - b * im")).alias("ir"), F.sum(F.expr("g * im + b * re")).alias("ii")))
-    s = v.select("row_id", "bus_id", "re", "im").join(i, ["row_id", "bus_id"]).join(sbus, ["row_id", "bus_id"], "left").join(F.broadcast(grid.bus.select("bus_id", "kind")), "bus_id").where("kind <> 'slack'")
+         .agg(F.sum(F.expr("g * re - b * im")).alias("ir"), F.sum(F.expr("g * im + b * re")).alias("ii"), *[F.max(F.when(F.col("i") == F.col("j"), F.col(c))).alias(c) for c in ("re", "im")]))
+    none = lambda *cs: [F.lit(None).cast("double").alias(c) for c in cs]
+    s = i.select("row_id", "bus_id", "ir", "ii", "re", "im", *none("p_mw", "q_mvar")).union(sbus.select("row_id", "bus_id", *none("ir", "ii", "re", "im"), "p_mw", "q_mvar"))
+    s = s.groupBy("row_id", "bus_id").agg(*[F.max(c).alias(c) for c in ("ir", "ii", "re", "im")], *[F.sum(c).alias(c) for c in ("p_mw", "q_mvar")])
+    s = s.where("re is not null").join(F.broadcast(grid.bus.select("bus_id", "kind")), "bus_id").where("kind <> 'slack'")
     if flips is not None:
         s = s.join(flips.select("row_id", "bus_id", F.lit(True).alias("flip")), ["row_id", "bus_id"], "left").withColumn("kind", F.when(F.col("flip"), "pq").otherwise(F.col("kind")))
     s = s.selectExpr("row_id", "bus_id", f"(re * ir + im * ii) * {grid.sn_mva} - coalesce(p_mw, 0) as dp_mw", f"case when kind = 'pq' then (im * ir - re * ii) * {grid.sn_mva} - coalesce(q_mvar, 0) else 0.0D end as dq_mvar")

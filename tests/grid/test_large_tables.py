@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as e
-from gridloom.operators import balance
+from gridloom.operators import balance, rows
 from gridloom.plans.oracles import ORACLES
 
 SMALL = "/root/testdata/sf0.001"
@@ -66,3 +66,15 @@ def test_distribute_keeps_any_row_id(spark):
     units = spark.sql("select named_struct('g', 1, 'lost_mw', 3.0D) as row_id, cast(id as int) as gen_id, 1.0D * id as p_mw, 1.0D as weight, 0.0D as min_p, 3.0D as max_p from range(3)")
     got = balance.distribute(units, spark.sql("select named_struct('g', 1, 'lost_mw', 3.0D) as row_id, 3.0D as lost_mw"))
     assert [tuple(r) for r in got.select("row_id.g", "gen_id", F.round("new_p", 6)).orderBy("gen_id").collect()] == [(1, 0, 1.0), (1, 1, 2.0), (1, 2, 3.0)]
+
+
+def exchanges(df) -> int:
+    """Shuffles of the plan before adaptive execution, those of small broadcast sides included."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_patches_are_merged_where_their_rows_are(spark):
+    """Entries are four times the trips: they are merged in the tasks that the trips were dealt to, in as many as the trips need."""
+    df = e.queries()["branch_patch_merged"](spark, SMALL)
+    assert exchanges(df) <= 2 and "hashpartitioning(row_id" in df._jdf.queryExecution().executedPlan().toString()
+    assert rows.by_row(spark.range(9).withColumnRenamed("id", "row_id"), 3_000_000).rdd.getNumPartitions() == 12
